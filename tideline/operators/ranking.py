@@ -53,13 +53,13 @@ def global_rank(df: DataFrame, order: Sequence[str | Column], name: str = "rank"
     # One row per partition of the sort, so the unpartitioned window stays small.
     parts = (
         placed.groupBy("__part")
-        .agg(F.count(F.lit(1)).alias("__c"), F.min("__id").alias("__first"))
-        .select("__part", "__first", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__start"))
+        .agg(F.count(F.lit(1)).alias("__c"), F.min("__id").alias("__part_first"))
+        .select("__part", "__part_first", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__start"))
     )
     return (
         placed.join(F.broadcast(parts), "__part")
-        .withColumn(name, (F.col("__start") + F.col("__id") - F.col("__first")).cast("long"))
-        .drop("__part", "__id", "__first", "__start")
+        .withColumn(name, (F.col("__start") + F.col("__id") - F.col("__part_first")).cast("long"))
+        .drop("__part", "__id", "__part_first", "__start")
     )
 
 

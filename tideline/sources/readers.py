@@ -47,8 +47,8 @@ def read_optional(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame
         raise
 
 
-def read_recommendations(spark: SparkSession, path: str) -> DataFrame:
-    """Recommendation documents: one array per file, or one object per line."""
+def read_recommendations(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Recommendation documents: one array per file, or (``lines``) one object per line."""
     schema = T.StructType(
         [
             T.StructField("채수위치", T.StringType()),
@@ -60,4 +60,4 @@ def read_recommendations(spark: SparkSession, path: str) -> DataFrame:
             T.StructField("scenarios", T.ArrayType(ACTION_DOC)),
         ]
     )
-    return spark.read.schema(schema).json(path, multiLine=True)
+    return spark.read.schema(schema).json(path, multiLine=not lines)
