@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tideline.catalog.registry import QUERIES, SQL
 
-_GROUPS = ["scalars", "series", "summaries"]
+_GROUPS = ["scalars", "series", "summaries", "assessment"]
 
 
 def _load() -> None:
@@ -25,3 +25,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     _load()
     return dict(SQL)
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    from tideline.catalog.assessment import flagship as run
+
+    return run(spark, sf)

@@ -463,8 +463,8 @@ def _contrast_across(spark, sf):
 
 
 def _episodes_sql(lead: bool) -> str:
-    extra = ", lead, lead IS NOT NULL AS detected" if lead else ""
-    return f"""SELECT key, start, "end", "end" - start + 1 AS length, brk IS NULL AS open{extra} FROM (
+    extra = ", CAST(lead AS INTEGER) AS lead, lead IS NOT NULL AS detected" if lead else ""
+    return f"""SELECT key, start, "end", CAST("end" - start + 1 AS INTEGER) AS length, brk IS NULL AS open{extra} FROM (
       SELECT key, day AS start, COALESCE(brk - 1, last_day) AS "end", brk, day - found AS lead FROM (
         SELECT *, LAG(alarm) OVER {W} AS was,
                MIN(CASE WHEN NOT alarm THEN day END) OVER (PARTITION BY key ORDER BY day DESC) AS brk,

@@ -46,13 +46,11 @@ def ses_baseline(
             (acc["sse"] + (v - acc["level"]) * (v - acc["level"])).alias("sse"),
         )
 
-    tried = F.array(
-        *[
-            F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), start, step(F.lit(a)),
-                        lambda acc, a=a: F.struct(acc["sse"].alias("sse"), F.lit(a).alias("alpha"), acc["level"].alias("level")))
-            for a in alphas
-        ]
-    )
+    def finish(a):
+        return lambda acc: F.struct(acc["sse"].alias("sse"), F.lit(a).alias("alpha"), acc["level"].alias("level"))
+
+    rest = F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0)))
+    tried = F.array(*[F.aggregate(rest, start, step(F.lit(a)), finish(a)) for a in alphas])
     best = F.array_min(tried)
     return per_key.withColumn("__best", best).select(
         *s.keys,

@@ -312,24 +312,22 @@ def blend_two(
 ) -> DataFrame:
     """Blend weight and threshold pair of least cost with enough top recall.
 
-    Everything is chosen on validation rows.  For each weight the rows are binned by
-    the thresholds they reach; the pairs are evaluated on those cells.  One row per
-    weight comes back, cheapest feasible pair each.
+    Everything is chosen on validation rows.  Each row is repeated once per weight and
+    binned by the thresholds it reaches; all pairs of all weights are then evaluated on
+    the cells.  One row per weight comes back, the cheapest feasible pair each.
     """
-    out = None
-    for w in weights:
-        blended = val.select(
-            F.col(y).alias("__y"),
-            (w * F.col(first[0]) + (1 - w) * F.col(second[0])).alias("__a"),
-            (w * F.col(first[1]) + (1 - w) * F.col(second[1])).alias("__t"),
-        )
-        grid = pair_cost_grid(blended, "__y", "__a", "__t", alert_grid, top_grid)
-        short = F.when(F.col("top_recall") >= min_top_recall, 0).otherwise(1)
-        best = grid.agg(
-            F.min_by(F.struct("t_alert", "t_top", "cost", "top_recall"), F.struct(short, "cost", "i_alert", "i_top")).alias("b")
-        ).select(F.lit(w).alias("weight"), "b.*")
-        out = best if out is None else out.unionByName(best)
-    return out
+    w = F.col("weight")
+    rows = val.withColumn("weight", F.explode(F.array(*[F.lit(float(x)) for x in weights])))
+    blended = rows.select(
+        "weight",
+        F.col(y).alias("__y"),
+        (w * F.col(first[0]) + (1 - w) * F.col(second[0])).alias("__a"),
+        (w * F.col(first[1]) + (1 - w) * F.col(second[1])).alias("__t"),
+    )
+    grid = pair_cost_grid(blended, "__y", "__a", "__t", alert_grid, top_grid, by=["weight"])
+    short = F.when(F.col("top_recall") >= min_top_recall, 0).otherwise(1)
+    best = F.min_by(F.struct("t_alert", "t_top", "cost", "top_recall"), F.struct(short, "cost", "i_alert", "i_top"))
+    return grid.groupBy("weight").agg(best.alias("b")).select("weight", "b.*")
 
 
 def scale_sequences(df: DataFrame, train: DataFrame, values: Sequence[str], kind: str = "minmax") -> DataFrame:

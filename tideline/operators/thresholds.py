@@ -175,41 +175,49 @@ def pair_cost_grid(
     top_grid: Sequence[float],
     w_fp: float = 1.0,
     w_fn: float = 3.0,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Cost and top recall for pairs where the top stage also needs the alert threshold."""
+    by = list(by)
     na, nt = len(alert_grid), len(top_grid)
     cells = (
         df.where(F.col(y).isNotNull())
-        .groupBy(reached(F.col(p_alert), alert_grid).alias("__a"), reached(F.col(p_top), top_grid).alias("__t"))
+        .groupBy(*by, reached(F.col(p_alert), alert_grid).alias("__a"), reached(F.col(p_top), top_grid).alias("__t"))
         .agg(
             F.count_if(F.col(y) == 0).alias("__neg"),
             F.count_if(F.col(y) >= 1).alias("__pos"),
             F.count_if(F.col(y) == 2).alias("__two"),
         )
     )
+    totals = cells.groupBy(*by).agg(F.sum("__two").alias("__all2"))
+    counts = ["__neg", "__pos", "__two"]
     dense = (
-        df.sparkSession.range(na + 1)
-        .select(F.col("id").cast("int").alias("__a"))
+        totals.withColumn("__a", F.explode(F.sequence(F.lit(0), F.lit(na))))
         .withColumn("__t", F.explode(F.sequence(F.lit(0), F.lit(nt))))
-        .join(cells, ["__a", "__t"], "left")
-        .na.fill(0)
+        .join(cells, [*by, "__a", "__t"], "left")
+        .na.fill(0, counts)
     )
-    over_a = Window.partitionBy("__t").orderBy(F.col("__a").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    high = dense.withColumns({f"{c}_a": F.coalesce(F.sum(c).over(over_a), F.lit(0)) for c in ("__neg", "__two")})
-    high = high.withColumn("__below_a", F.sum("__pos").over(Window.partitionBy("__t").orderBy("__a").rowsBetween(Window.unboundedPreceding, 0)))
-    over_t = Window.partitionBy("__a").orderBy(F.col("__t").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    row = Window.partitionBy("__a")
-    both = high.withColumns(
+    above_a = Window.partitionBy(*by, "__t").orderBy(F.col("__a").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    upto_a = Window.partitionBy(*by, "__t").orderBy("__a").rowsBetween(Window.unboundedPreceding, 0)
+    above_t = Window.partitionBy(*by, "__a").orderBy(F.col("__t").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    all_t = Window.partitionBy(*by, "__a")
+    high = dense.withColumns(
         {
-            "__hit": F.coalesce(F.sum("__two_a").over(over_t), F.lit(0)),
-            "__fp": F.sum("__neg_a").over(row),
-            "__fn": F.sum("__below_a").over(row),
+            "__neg_a": F.coalesce(F.sum("__neg").over(above_a), F.lit(0)),
+            "__two_a": F.coalesce(F.sum("__two").over(above_a), F.lit(0)),
+            "__below": F.sum("__pos").over(upto_a),
         }
     )
-    totals = cells.agg(F.coalesce(F.sum("__two"), F.lit(0)).alias("__all2"))
-    grid = both.where((F.col("__a") < na) & (F.col("__t") < nt)).join(F.broadcast(totals), how="left")
+    grid = high.withColumns(
+        {
+            "__hit": F.coalesce(F.sum("__two_a").over(above_t), F.lit(0)),
+            "__fp": F.sum("__neg_a").over(all_t),
+            "__fn": F.sum("__below").over(all_t),
+        }
+    ).where((F.col("__a") < na) & (F.col("__t") < nt))
     pick = lambda g, i: F.element_at(F.array(*[F.lit(v) for v in g]), F.col(i) + 1)
     return grid.select(
+        *by,
         F.col("__a").alias("i_alert"),
         F.col("__t").alias("i_top"),
         pick(alert_grid, "__a").alias("t_alert"),
