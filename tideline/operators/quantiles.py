@@ -9,13 +9,16 @@ those few rows are ranked.  The sketch's error moves work, never the answer.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _ranges(pivots: Column, v: Column) -> Column:
-    return F.size(F.filter(pivots, lambda p: p <= v))
+def _range_of(v: Column, pivots: Column, n: int) -> Column:
+    """How many of the n pivots a value reaches, as plain comparisons."""
+    return reduce(add, [(v >= F.get(pivots, F.lit(i))).cast("int") for i in range(n)])
 
 
 def exact_quantiles(
@@ -48,7 +51,7 @@ def exact_quantiles(
     # One row per group: joined by the group, or as a single row to every task.
     pivots = sketch.select(*by, "__pivots")
     placed = (values.join(pivots, by) if by else values.crossJoin(F.broadcast(pivots))).withColumn(
-        "__r", _ranges(F.col("__pivots"), F.col("__v"))
+        "__r", _range_of(F.col("__v"), F.col("__pivots"), len(probes))
     )
     counted = placed.groupBy(*by, "__r").agg(F.count(F.lit(1)).alias("__c"))
     upto = Window.partitionBy(*by).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
@@ -60,26 +63,32 @@ def exact_quantiles(
         F.coalesce(F.sum("__c").over(upto), F.lit(0)).alias("__start"),
         F.sum("__c").over(whole).alias("n"),
     )
-    at = [(F.col("n") - 1) * q for q in shares]
-    lows = [F.floor(a).cast("long") for a in at]
-    highs = [F.least(low + 1, F.col("n") - 1) for low in lows]
-    wanted = F.array_distinct(F.array(*[r for pair in zip(lows, highs) for r in pair]))
-    hit = F.exists(wanted, lambda r: (r >= F.col("__start")) & (r < F.col("__start") + F.col("__c")))
-    # At most two ranges per share and group are left.
-    targets = starts.where(hit).select(*by, "__r", "__start", "n")
-    near = placed.select(*by, "__r", "__v").join(F.broadcast(targets) if not by else targets, [*by, "__r"])
-    ties = near.groupBy(*by, "__r", "__start", "n", "__v").agg(F.count(F.lit(1)).alias("__t"))
+    # The two ranks each share lies between, as one array; at most two ranges per share are left.
+    spots = F.array(*[(F.col("n") - 1) * q for q in shares])
+    targets = starts.withColumn("__at", spots).withColumn(
+        "__ranks",
+        F.array_distinct(
+            F.flatten(F.transform("__at", lambda a: F.array(F.floor(a), F.least(F.floor(a) + 1, F.col("n") - 1))))
+        ),
+    )
+    holds = F.exists("__ranks", lambda r: (r >= F.col("__start")) & (r < F.col("__start") + F.col("__c")))
+    targets = targets.where(holds).select(*by, "__r", "__start", "__at", "__ranks")
+    near = placed.select(*by, "__r", "__v").groupBy(*by, "__r", "__v").agg(F.count(F.lit(1)).alias("__t"))
+    ties = near.join(F.broadcast(targets) if not by else targets, [*by, "__r"])
     run = Window.partitionBy(*by, "__r").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = ties.withColumn("__end", F.col("__start") + F.sum("__t").over(run))
-    covers = lambda r: (r >= F.col("__end") - F.col("__t")) & (r < F.col("__end"))
-    picked = ranked.groupBy(*by, "n").agg(
-        *[F.max(F.when(covers(low), F.col("__v"))).alias(f"__lo{i}") for i, low in enumerate(lows)],
-        *[F.max(F.when(covers(high), F.col("__v"))).alias(f"__hi{i}") for i, high in enumerate(highs)],
+    covered = F.filter("__ranks", lambda r: (r >= F.col("__end") - F.col("__t")) & (r < F.col("__end")))
+    hits = ranked.select(*by, "__at", "__v", F.explode(covered).alias("__rank"))
+    picked = hits.groupBy(*by).agg(
+        F.first("__at").alias("__at"),
+        F.map_from_entries(F.collect_set(F.struct("__rank", "__v"))).alias("__by_rank"),
     )
     out = []
-    for i, (name, a, low) in enumerate(zip(names, at, lows)):
-        lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
-        out.append((lo + (hi - lo) * (a - low)).alias(name))
+    for i, name in enumerate(names):
+        a = F.get("__at", F.lit(i))
+        lo = F.element_at("__by_rank", F.floor(a))
+        hi = F.coalesce(F.element_at("__by_rank", F.floor(a) + 1), lo)
+        out.append((lo + (hi - lo) * (a - F.floor(a))).alias(name))
     return picked.select(*by, *out)
 
 
