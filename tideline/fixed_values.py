@@ -38,7 +38,7 @@ WIND = "평균 풍속(m/s)"
 HUMIDITY = "평균 상대습도(%)"
 SUNSHINE = "합계 일조시간(hr)"
 RADIATION = "합계 일사량(MJ/m2)"
-LEVEL = "수위(EL.m)"
+LEVEL = "수위(EL_m)"  # "수위(EL.m)" in the files; headers lose their dots on reading
 STORAGE = "저수율(%)"
 INFLOW = "유입량(㎥/s)"
 OUTFLOW = "총방류량(㎥/s)"

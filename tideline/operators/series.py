@@ -16,15 +16,15 @@ Two layouts, same results:
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-_POS = "__pos"
-_BUCKET = "__bucket"
-_HOME = "__home"
+_POS = "__ser_pos"
+_BUCKET = "__ser_bucket"
+_HOME = "__ser_home"
 
 
 @dataclass(frozen=True)
@@ -60,6 +60,13 @@ class Series:
         return F.struct(day.alias("day"), part.alias("part"))
 
 
+def measured(df: DataFrame, keys: Sequence[str], time: str, tie: Sequence[str] = ()) -> Series:
+    """A series whose layout is decided by looking: is there one row per key and day?"""
+    days = df.groupBy(*keys, F.to_date(F.col(time)).alias("__ser_day")).agg(F.count(F.lit(1)).alias("__ser_n"))
+    repeated = days.where(F.col("__ser_n") > 1).limit(1).count() > 0
+    return Series(tuple(keys), time, tuple(tie), daily=not repeated)
+
+
 def complete(df: DataFrame, s: Series) -> DataFrame:
     """Rows without key or time belong to no series."""
     return df.na.drop(subset=[*s.keys, s.time])
@@ -79,13 +86,13 @@ def with_position(df: DataFrame, s: Series, name: str) -> DataFrame:
     before = Window.partitionBy(*s.keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         cut.groupBy(*s.keys, _BUCKET)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .select(*s.keys, _BUCKET, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+        .agg(F.count(F.lit(1)).alias("__ser_n"))
+        .select(*s.keys, _BUCKET, F.coalesce(F.sum("__ser_n").over(before), F.lit(0)).alias("__ser_start"))
     )
-    local = cut.withColumn("__local", F.row_number().over(_by_bucket(cut, s)) - 1)
+    local = cut.withColumn("__ser_local", F.row_number().over(_by_bucket(cut, s)) - 1)
     return (
         local.join(starts, [*s.keys, _BUCKET])
-        .withColumn(name, (F.col("__start") + F.col("__local")).cast("long"))
+        .withColumn(name, (F.col("__ser_start") + F.col("__ser_local")).cast("long"))
         .select(*df.columns, name)
     )
 
@@ -129,11 +136,11 @@ def over_series(
             )
         )
     spread = placed.withColumn(_HOME, F.explode(F.array_compact(F.array(*homes))))
-    spread = spread.withColumn("__block", F.col(f"{_HOME}.block")).withColumn("__own", F.col(f"{_HOME}.own"))
-    w = Window.partitionBy(*s.keys, "__block").orderBy(_POS)
+    spread = spread.withColumn("__ser_block", F.col(f"{_HOME}.block")).withColumn("__ser_own", F.col(f"{_HOME}.own"))
+    w = Window.partitionBy(*s.keys, "__ser_block").orderBy(_POS)
     for b in builders:
         spread = spread.withColumns(b(w, F.col(_POS)))
-    return spread.where("__own").drop(_POS, _HOME, "__block", "__own")
+    return spread.where("__ser_own").drop(_POS, _HOME, "__ser_block", "__ser_own")
 
 
 def neighbour(df: DataFrame, s: Series, cols: dict[str, str], step: int = -1) -> DataFrame:
@@ -150,16 +157,16 @@ def neighbour(df: DataFrame, s: Series, cols: dict[str, str], step: int = -1) ->
     packed = F.struct(*[F.col(old).alias(new) for new, old in cols.items()])
     order = F.struct(*s.order)
     edge = F.max_by(packed, order) if step < 0 else F.min_by(packed, order)
-    edges = cut.groupBy(*s.keys, _BUCKET).agg(edge.alias("__edge"))
+    edges = cut.groupBy(*s.keys, _BUCKET).agg(edge.alias("__ser_edge"))
     across = Window.partitionBy(*s.keys).orderBy(_BUCKET)
-    edges = edges.withColumn("__edge", shift(F.col("__edge"), across))
+    edges = edges.withColumn("__ser_edge", shift(F.col("__ser_edge"), across))
     w = _by_bucket(cut, s)
     at_edge = F.row_number().over(w if step < 0 else _by_bucket(cut, s, descending=True)) == 1
-    local = cut.withColumn("__near", shift(packed, w)).withColumn("__at_edge", at_edge)
+    local = cut.withColumn("__ser_near", shift(packed, w)).withColumn("__ser_at_edge", at_edge)
     joined = local.join(edges, [*s.keys, _BUCKET])
-    value = F.when(F.col("__at_edge"), F.col("__edge")).otherwise(F.col("__near"))
-    return joined.withColumn("__value", value).select(
-        *df.columns, *[F.col(f"__value.{new}").alias(new) for new in cols]
+    value = F.when(F.col("__ser_at_edge"), F.col("__ser_edge")).otherwise(F.col("__ser_near"))
+    return joined.withColumn("__ser_value", value).select(
+        *df.columns, *[F.col(f"__ser_value.{new}").alias(new) for new in cols]
     )
 
 
@@ -184,24 +191,24 @@ def seen(
     if s.daily:
         w = s.window(descending=forward)
         return df.withColumns({n: nearest(w, c) for n, c in cols.items()})
-    cut = df.withColumn(_BUCKET, s.bucket()).withColumns({f"__in_{n}": c for n, c in cols.items()})
+    cut = df.withColumn(_BUCKET, s.bucket()).withColumns({f"__ser_in_{n}": c for n, c in cols.items()})
     order = F.struct(*s.order)
     pick = F.min_by if forward else F.max_by
     summary = cut.groupBy(*s.keys, _BUCKET).agg(
         *[
-            pick(F.col(f"__in_{n}"), F.when(F.col(f"__in_{n}").isNotNull(), order)).alias(f"__carry_{n}")
+            pick(F.col(f"__ser_in_{n}"), F.when(F.col(f"__ser_in_{n}").isNotNull(), order)).alias(f"__ser_carry_{n}")
             for n in cols
         ]
     )
     edge = F.col(_BUCKET).desc() if forward else F.col(_BUCKET).asc()
     across = Window.partitionBy(*s.keys).orderBy(edge).rowsBetween(Window.unboundedPreceding, -1)
     summary = summary.withColumns(
-        {f"__carry_{n}": F.last(f"__carry_{n}", ignorenulls=True).over(across) for n in cols}
+        {f"__ser_carry_{n}": F.last(f"__ser_carry_{n}", ignorenulls=True).over(across) for n in cols}
     )
     w = _by_bucket(cut, s, descending=forward)
-    local = cut.withColumns({f"__near_{n}": nearest(w, F.col(f"__in_{n}")) for n in cols})
+    local = cut.withColumns({f"__ser_near_{n}": nearest(w, F.col(f"__ser_in_{n}")) for n in cols})
     joined = local.join(summary, [*s.keys, _BUCKET])
-    new = {n: F.coalesce(F.col(f"__near_{n}"), F.col(f"__carry_{n}")) for n in cols}
+    new = {n: F.coalesce(F.col(f"__ser_near_{n}"), F.col(f"__ser_carry_{n}")) for n in cols}
     kept = [c for c in df.columns if c not in cols]
     return joined.select(*kept, *[c.alias(n) for n, c in new.items()])
 

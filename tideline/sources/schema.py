@@ -10,8 +10,11 @@ from pyspark.sql import types as T
 
 
 def normalize_headers(df: DataFrame, renames: dict[str, str] | None = None) -> DataFrame:
-    """Trim headers, drop line breaks and repeated blanks, then rename."""
-    clean = df.toDF(*[" ".join(c.split()) for c in df.columns])
+    """Trim headers, drop line breaks and repeated blanks, then rename.
+
+    A dot would read as a struct access in expressions, so it becomes an underscore.
+    """
+    clean = df.toDF(*[" ".join(c.split()).replace(".", "_") for c in df.columns])
     return clean.withColumnsRenamed(renames or {})
 
 
