@@ -12,7 +12,7 @@ from tideline.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("8")
+    session = local_session("8", shuffle_partitions=4)
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()
@@ -56,7 +56,7 @@ def site_panel(spark):
         X.RADIATION: 14 + 6 * season + wave,
         "수위(EL.m)": 72 + 3 * season,
         X.STORAGE: 62 + 12 * season + wave,
-        X.INFLOW: 80 + 70 * season + 30 * wave,
-        X.OUTFLOW: 75 + 60 * season + 40 * wave,
+        X.INFLOW: F.greatest(80 + 70 * season + 30 * wave, F.lit(0.0)),
+        X.OUTFLOW: F.greatest(75 + 60 * season + 40 * wave, F.lit(0.0)),
     }
     return d.select(*[c.alias(n) for n, c in cols.items()]).cache()

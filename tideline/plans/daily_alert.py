@@ -43,7 +43,7 @@ class DailyForecast:
 
 def enrich(raw: DataFrame, s: Series | None = None) -> DataFrame:
     """Stage codes, exceed flags, two-day flags, day-7 and next-week labels."""
-    df = nan_to_null(raw)
+    df = nan_to_null(normalize_headers(raw))
     s = s or measured(df, [X.SITE], X.DATE)
     total = F.col(X.TOTAL)
     df = df.withColumns(
