@@ -114,8 +114,8 @@ def _value_counts(spark, sf):
 
 @query(
     "exact_quantiles_by_group",
-    """SELECT l_returnflag, quantile_cont(l_extendedprice, 0.1) AS q10, quantile_cont(l_extendedprice, 0.5) AS q50,
-              quantile_cont(l_extendedprice, 0.9) AS q90 FROM (SELECT l_returnflag, FLOOR(l_extendedprice) AS l_extendedprice FROM lineitem) GROUP BY 1""",
+    """SELECT l_returnflag, ROUND(quantile_cont(l_extendedprice, 0.1), 3) AS q10, ROUND(quantile_cont(l_extendedprice, 0.5), 3) AS q50,
+              ROUND(quantile_cont(l_extendedprice, 0.9), 3) AS q90 FROM (SELECT l_returnflag, FLOOR(l_extendedprice) AS l_extendedprice FROM lineitem) GROUP BY 1""",
 )
 def _quantiles(spark, sf):
     d = read(spark, sf, "lineitem").select("l_returnflag", F.floor("l_extendedprice").alias("p"))
