@@ -63,22 +63,20 @@ def exact_quantiles(
         F.coalesce(F.sum("__c").over(upto), F.lit(0)).alias("__start"),
         F.sum("__c").over(whole).alias("n"),
     )
-    # The two ranks each share lies between, as one array; at most two ranges per share are left.
+    # The two ranks each share lies between; at most two ranges per share and group hold one.
     spots = F.array(*[(F.col("n") - 1) * q for q in shares])
-    targets = starts.withColumn("__at", spots).withColumn(
-        "__ranks",
-        F.array_distinct(
-            F.flatten(F.transform("__at", lambda a: F.array(F.floor(a), F.least(F.floor(a) + 1, F.col("n") - 1))))
-        ),
+    ranks = F.array_distinct(
+        F.flatten(F.transform(spots, lambda a: F.array(F.floor(a), F.least(F.floor(a) + 1, F.col("n") - 1))))
     )
-    holds = F.exists("__ranks", lambda r: (r >= F.col("__start")) & (r < F.col("__start") + F.col("__c")))
-    targets = targets.where(holds).select(*by, "__r", "__start", "__at", "__ranks")
-    near = placed.select(*by, "__r", "__v").groupBy(*by, "__r", "__v").agg(F.count(F.lit(1)).alias("__t"))
-    ties = near.join(F.broadcast(targets) if not by else targets, [*by, "__r"])
+    holds = F.exists(ranks, lambda r: (r >= F.col("__start")) & (r < F.col("__start") + F.col("__c")))
+    targets = starts.where(holds).select(*by, "__r", "__start", "n")
+    # Only rows of those ranges are kept, collapsed to distinct values and ranked.
+    near = placed.select(*by, "__r", "__v").join(F.broadcast(targets) if not by else targets, [*by, "__r"])
+    ties = near.groupBy(*by, "__r", "__start", "n", "__v").agg(F.count(F.lit(1)).alias("__t"))
     run = Window.partitionBy(*by, "__r").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = ties.withColumn("__end", F.col("__start") + F.sum("__t").over(run))
+    ranked = ties.withColumn("__end", F.col("__start") + F.sum("__t").over(run)).withColumn("__ranks", ranks)
     covered = F.filter("__ranks", lambda r: (r >= F.col("__end") - F.col("__t")) & (r < F.col("__end")))
-    hits = ranked.select(*by, "__at", "__v", F.explode(covered).alias("__rank"))
+    hits = ranked.select(*by, spots.alias("__at"), "__v", F.explode(covered).alias("__rank"))
     picked = hits.groupBy(*by).agg(
         F.first("__at").alias("__at"),
         F.map_from_entries(F.collect_set(F.struct("__rank", "__v"))).alias("__by_rank"),

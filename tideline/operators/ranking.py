@@ -15,14 +15,22 @@ def hash_order(ids: Sequence[str], seed: int | str) -> Column:
     return F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in ids], F.lit(str(seed))))
 
 
-def hash_rank(df: DataFrame, ids: Sequence[str], seed: int | str, by: Sequence[str] = (), name: str = "rank") -> DataFrame:
+def hash_rank(
+    df: DataFrame,
+    ids: Sequence[str],
+    seed: int | str,
+    by: Sequence[str] = (),
+    name: str = "rank",
+    digits: int = 3,
+) -> DataFrame:
     """0-based rank of each row in hash order, inside each group.
 
-    Hashes spread evenly, so their first three digits cut even the largest group
-    into 4096 even parts; ranks are taken per part and shifted by the parts before.
+    Hashes spread evenly, so their first ``digits`` hex digits cut even the largest
+    group into 16 ** digits even parts; ranks are taken per part and shifted by the
+    parts before.
     """
     by = list(by)
-    hashed = df.withColumn("__h", hash_order(ids, seed)).withColumn("__b", F.substring("__h", 1, 3))
+    hashed = df.withColumn("__h", hash_order(ids, seed)).withColumn("__b", F.substring("__h", 1, digits))
     before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         hashed.groupBy(*by, "__b")

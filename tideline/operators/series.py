@@ -60,11 +60,32 @@ class Series:
         return F.struct(day.alias("day"), part.alias("part"))
 
 
-def measured(df: DataFrame, keys: Sequence[str], time: str, tie: Sequence[str] = ()) -> Series:
-    """A series whose layout is decided by looking: is there one row per key and day?"""
-    days = df.groupBy(*keys, F.to_date(F.col(time)).alias("__ser_day")).agg(F.count(F.lit(1)).alias("__ser_n"))
-    repeated = days.where(F.col("__ser_n") > 1).limit(1).count() > 0
-    return Series(tuple(keys), time, tuple(tie), daily=not repeated)
+def measured(
+    df: DataFrame, keys: Sequence[str], time: str, tie: Sequence[str] = (), limit: int = 1_000_000
+) -> Series:
+    """A series whose layout is decided by looking at the row counts.
+
+    One row per key and day: plain windows.  Otherwise the widest bucket (a year, a
+    month, a week or a day) whose largest one stays within ``limit`` rows, so that
+    small keys are not cut finer than the largest key needs.
+    """
+    count = F.sum("__ser_n")
+    days = df.groupBy(*keys, F.unix_date(F.to_date(F.col(time))).alias("__ser_day")).agg(
+        F.count(F.lit(1)).alias("__ser_n")
+    )
+    widths = [366, 30, 7, 1]
+    sizes = days.withColumn("__ser_w", F.explode(F.array(*[F.lit(w) for w in widths])))
+    largest = (
+        sizes.groupBy(*keys, "__ser_w", F.floor(F.col("__ser_day") / F.col("__ser_w")).alias("__ser_b"))
+        .agg(count.alias("__ser_n"))
+        .groupBy("__ser_w")
+        .agg(F.max("__ser_n").alias("__ser_n"))
+    )
+    top = {r["__ser_w"]: r["__ser_n"] for r in largest.collect()}  # one row per width
+    if top.get(1, 0) <= 1:
+        return Series(tuple(keys), time, tuple(tie), daily=True)
+    fits = [w for w in widths if top[w] <= limit]
+    return Series(tuple(keys), time, tuple(tie), bucket_days=fits[0] if fits else 1)
 
 
 def complete(df: DataFrame, s: Series) -> DataFrame:
@@ -160,12 +181,10 @@ def neighbour(df: DataFrame, s: Series, cols: dict[str, str], step: int = -1) ->
     edges = cut.groupBy(*s.keys, _BUCKET).agg(edge.alias("__ser_edge"))
     across = Window.partitionBy(*s.keys).orderBy(_BUCKET)
     edges = edges.withColumn("__ser_edge", shift(F.col("__ser_edge"), across))
-    w = _by_bucket(cut, s)
-    at_edge = F.row_number().over(w if step < 0 else _by_bucket(cut, s, descending=True)) == 1
-    local = cut.withColumn("__ser_near", shift(packed, w)).withColumn("__ser_at_edge", at_edge)
+    # Inside a bucket the neighbour is a struct; only a bucket's edge row has none.
+    local = cut.withColumn("__ser_near", shift(packed, _by_bucket(cut, s)))
     joined = local.join(edges, [*s.keys, _BUCKET])
-    value = F.when(F.col("__ser_at_edge"), F.col("__ser_edge")).otherwise(F.col("__ser_near"))
-    return joined.withColumn("__ser_value", value).select(
+    return joined.withColumn("__ser_value", F.coalesce("__ser_near", "__ser_edge")).select(
         *df.columns, *[F.col(f"__ser_value.{new}").alias(new) for new in cols]
     )
 

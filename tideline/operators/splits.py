@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.operators.ranking import hash_rank
+from tideline.operators.ranking import hash_order, hash_rank
 from tideline.operators.series import Series, with_position
 
 
@@ -132,8 +132,11 @@ def oversample(
 
 
 def sample_rows(df: DataFrame, n: int, ids: Sequence[str], seed: int = 42) -> DataFrame:
-    """At most n rows, the same ones on every run."""
-    return hash_rank(df, ids, seed, name="__rank").where(F.col("__rank") < n).drop("__rank")
+    """At most n rows, the same ones on every run: the first n in hash order.
+
+    Each task keeps its own first n, so nothing but those is moved.
+    """
+    return df.orderBy(hash_order(ids, seed), *ids).limit(n)
 
 
 def split_summary(df: DataFrame, split: str, y: str, classes: Sequence[int]) -> DataFrame:
