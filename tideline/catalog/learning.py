@@ -37,10 +37,10 @@ DEPTH = 4
 
 
 def learning_table(spark: SparkSession, sf: str, periods: int = 4) -> tuple[DataFrame, list[str]]:
-    """Look-back rows with split, log target and filled features, lineage cut."""
+    """Look-back rows with split, log target and filled features."""
     d = supervised(spark, sf, periods)
     feats = select_features(d, prefixes=(f"lw{periods}_", "lw2_", "lw1_"))
-    d = L.time_holdout(d, "week_start")
+    d = cut_lineage(L.time_holdout(d, "week_start"))  # read by the medians and by every fit
     d = median_impute(d, feats, fit_on=F.col("split") == "train")
     d = d.withColumns(
         {
@@ -49,7 +49,7 @@ def learning_table(spark: SparkSession, sf: str, periods: int = 4) -> tuple[Data
             "alert": F.col("y_alert").cast("double"),
         }
     )
-    return cut_lineage(d), feats
+    return d, feats
 
 
 def _parts(d: DataFrame) -> tuple[DataFrame, DataFrame]:

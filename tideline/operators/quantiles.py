@@ -109,23 +109,21 @@ def quantile_with_fallback(
     return both.select(chosen.alias(name))
 
 
-def median_impute(
-    df: DataFrame, values: Sequence[str], fit_on: Column | None = None
-) -> DataFrame:
+def median_impute(df: DataFrame, values: Sequence[str], fit_on: Column | None = None) -> DataFrame:
     """Infinite and NaN to null, then null to the column's exact median.
 
     ``fit_on`` limits the rows the medians are taken from (the training part);
-    without it they come from all rows.
+    without it they come from all rows.  The medians are one row of numbers; they are
+    fetched and become literals, so later stages do not compute them again.  Finding
+    them reads the table three times: store a table that is costly to compute first.
     """
     clean = df.withColumns(
         {v: F.when(F.abs(v).isin(float("inf")) | F.isnan(v), None).otherwise(F.col(v)) for v in values}
     )
     base = clean if fit_on is None else clean.where(fit_on)
-    medians = column_medians(base, values)
-    out = clean.crossJoin(F.broadcast(medians))
-    return out.withColumns({v: F.coalesce(F.col(v), F.col(f"__med_{v}")) for v in values}).drop(
-        *[f"__med_{v}" for v in values]
-    )
+    medians = column_medians(base, values).first().asDict()
+    known = {v: medians[f"__med_{v}"] for v in values if medians[f"__med_{v}"] is not None}
+    return clean.withColumns({v: F.coalesce(F.col(v).cast("double"), F.lit(m)) for v, m in known.items()})
 
 
 def column_medians(df: DataFrame, values: Sequence[str]) -> DataFrame:

@@ -167,7 +167,7 @@ def forecast(
     table = table.withColumn("y", F.least("target", F.lit(2)))
     table = L.split_by_dates(table, X.DATE, first_val, first_test)
     feats = select_features(table, exclude=[X.RAIN, "stage", "target", "y", X.STAGE_CODE])
-    table = cut_lineage(median_impute(table, feats, F.col("split") == "train"))
+    table = median_impute(cut_lineage(table), feats, F.col("split") == "train")
     # A feature without any training value has no median; it stays at 0.
     table = table.na.fill(0.0, feats)
     train = L.oversample(table.where(F.col("split") == "train"), "y", 2, [X.SITE, X.DATE], target=oversample_to)

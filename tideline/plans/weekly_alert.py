@@ -123,9 +123,9 @@ def forecast(
     """
     table = supervised_table(weekly_panel(prepare(raw))).na.drop(subset=["y_max", "y_stage"])
     feats = select_features(table, prefixes=("lw4_", "lw2_", "lw1_"))
-    table = L.time_holdout(table, WEEK, holdout)
-    table = median_impute(table, feats, None if impute_all else F.col("split") == "train")
     table = encode_key(table, X.SITE, "site_code", first_seen=[X.SITE])
+    table = cut_lineage(L.time_holdout(table, WEEK, holdout))  # the medians and every fit below read it
+    table = median_impute(table, feats, None if impute_all else F.col("split") == "train")
     table = table.withColumns(
         {
             "y_log": to_log(F.col("y_max")),
@@ -133,7 +133,6 @@ def forecast(
             "y_bin": F.col("y_alert").cast("double"),
         }
     )
-    table = cut_lineage(table)  # every fit below reads it
     feats = [*feats, "site_code"]
     train, test = table.where(F.col("split") == "train"), table.where(F.col("split") == "test")
 
