@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def tag_text(c: Column, words: dict[str, list[str]], none: str) -> Column:
-    """Sorted distinct tags whose words occur in the text, joined by '; '."""
-    hits = [F.when(c.rlike("|".join(re.escape(w) for w in ws)), F.lit(tag)) for tag, ws in words.items()]
-    tags = F.array_sort(F.array_distinct(F.array_compact(F.array(*hits))))
-    return F.when(F.size(tags) > 0, F.array_join(tags, "; ")).otherwise(F.lit(none))
+    """Sorted distinct tags whose words occur in the text, joined by '; '.
+
+    The text is searched once per word, as bytes; pass a column, not a long
+    expression, since each search names it again.
+    """
+    hits = [F.when(reduce(or_, [c.contains(w) for w in words[tag]]), F.lit(tag)) for tag in sorted(words)]
+    joined = F.concat_ws("; ", *hits)
+    return F.when(joined != "", joined).otherwise(F.lit(none))

@@ -69,17 +69,16 @@ def explode_recommendations(
     df: DataFrame, column: str, words: dict[str, list[str]], none: str, keep: Sequence[str]
 ) -> DataFrame:
     """One row per recommendation with its joined actions and activity tags."""
-    rows = df.select(*keep, F.explode(column).alias("r"))
-    actions = F.array_join("r.actions", " | ")
-    blob = F.concat_ws(" ", "r.title", "r.condition", "r.expectation", actions)
+    rows = df.select(*keep, F.explode(column).alias("r")).withColumn("__actions", F.array_join("r.actions", " | "))
+    rows = rows.withColumn("__text", F.concat_ws(" ", "r.title", "r.condition", "r.expectation", "__actions"))
     return rows.select(
         *keep,
         F.col("r.id").alias("scenario_id"),
         F.col("r.title").alias("scenario_title"),
         F.col("r.condition").alias("condition"),
         F.col("r.expectation").alias("expectation"),
-        actions.alias("actions_text"),
-        tag_text(blob, words, none).alias("tags"),
+        F.col("__actions").alias("actions_text"),
+        tag_text(F.col("__text"), words, none).alias("tags"),
     )
 
 
