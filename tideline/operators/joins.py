@@ -62,14 +62,18 @@ def _range_pairs(
 def after_events(
     events: DataFrame, rows: DataFrame, keys: Sequence[str], event_time: str, time: str, days: int
 ) -> DataFrame:
-    """Rows in (event, event + days]."""
+    """Rows in (event, event + days], one output row per pair.
+
+    Meant for rows unique per key and day (at most ``days`` per event); where a day may
+    hold many rows, ``range_totals`` sums them before anything is paired.
+    """
     return _range_pairs(events, rows, keys, event_time, time, 1, days)
 
 
 def before_events(
     events: DataFrame, rows: DataFrame, keys: Sequence[str], event_time: str, time: str, days: int
 ) -> DataFrame:
-    """Rows in [event - days, event)."""
+    """Rows in [event - days, event); see ``after_events``."""
     return _range_pairs(events, rows, keys, event_time, time, -days, -1)
 
 
@@ -121,8 +125,3 @@ def mark_in_windows(
     keyed = rows.withColumn("__day", F.to_date(time))
     out = keyed.join(covered, [*keys, "__day"], "left").drop("__day")
     return out.withColumn(name, F.coalesce(F.col(name), F.lit(0)))
-
-
-def cross_grid(cells: DataFrame, grid: DataFrame) -> DataFrame:
-    """Every grid point against pre-aggregated cells (both bounded by the grid)."""
-    return cells.join(F.broadcast(grid), how="cross")
