@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tideline.llm.common import table
+from tideline.llm.html_text import extract
 from tideline.llm.packing import pack
 from tideline.llm.sharding import place
 from tideline.llm.token_counts import token_counts
@@ -15,6 +16,10 @@ from tideline.session import scratch_path
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), budget=16_384, buckets=16)
 
@@ -34,6 +39,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_html_text,
         op4_packing,
         op8_sharding,
         op10_token_counts,
