@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tideline.llm.common import table
 from tideline.llm.html_text import extract
+from tideline.llm.langid import held_out, identify, train
 from tideline.llm.packing import pack
 from tideline.llm.sharding import place
 from tideline.llm.token_counts import token_counts
@@ -20,6 +22,13 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    apart = held_out(F.col("doc_id"))
+    model = train(docs.where(~apart), rows_per_language=4000)
+    return identify(docs, model).select("doc_id", apart.alias("held_out"), "lang_pred", "score", "spans")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), budget=16_384, buckets=16)
 
@@ -40,6 +49,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_html_text,
+        op3_language_id,
         op4_packing,
         op8_sharding,
         op10_token_counts,
