@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import table
+from tideline.llm.common import let_workers_import, table
 from tideline.llm.html_text import extract
 from tideline.llm.langid import held_out, identify, train
 from tideline.llm.packing import pack
@@ -60,7 +60,15 @@ SQL: dict[str, str] = {}
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return {name: _ready(fn) for name, fn in QUERIES.items()}
+
+
+def _ready(fn: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        let_workers_import(spark)
+        return fn(spark, sf_dir)
+
+    return run
 
 
 def oracle_sql() -> dict[str, str]:
