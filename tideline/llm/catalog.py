@@ -12,6 +12,7 @@ from tideline.llm.html_text import extract
 from tideline.llm.langid import held_out, identify, train
 from tideline.llm.packing import pack
 from tideline.llm.sharding import place
+from tideline.llm.simhash import groups, hexadecimal
 from tideline.llm.token_counts import token_counts
 from tideline.session import scratch_path
 
@@ -22,6 +23,11 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     apart = held_out(F.col("doc_id"))
@@ -49,6 +55,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_html_text,
+        op2_simhash,
         op3_language_id,
         op4_packing,
         op8_sharding,
