@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.llm import line_dedup
 from tideline.llm.common import let_workers_import, table
 from tideline.llm.html_text import extract
 from tideline.llm.langid import held_out, identify, train
 from tideline.llm.packing import pack
 from tideline.llm.sharding import place
+from tideline.llm.oracle import LINE_DEDUP
 from tideline.llm.simhash import groups, hexadecimal
 from tideline.llm.token_counts import token_counts
 from tideline.session import scratch_path
@@ -39,6 +41,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), budget=16_384, buckets=16)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short = line_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return short.select("doc_id", "text", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = {s: 1.0 for s in range(9)}
     return place(table(spark, sf_dir, "documents"), {s: even[s] for s in range(8)}, even)
@@ -58,12 +65,13 @@ QUERIES: dict[str, Query] = {
         op2_simhash,
         op3_language_id,
         op4_packing,
+        op5_line_dedup,
         op8_sharding,
         op10_token_counts,
     )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_line_dedup": LINE_DEDUP}
 
 
 def queries() -> dict[str, Query]:
