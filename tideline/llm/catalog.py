@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import line_dedup
+from tideline.llm import decontaminate, line_dedup
 from tideline.llm.common import let_workers_import, table
 from tideline.llm.html_text import extract
 from tideline.llm.langid import held_out, identify, train
 from tideline.llm.packing import pack
 from tideline.llm.sharding import place
-from tideline.llm.oracle import LINE_DEDUP
+from tideline.llm.oracle import DECONTAMINATE, LINE_DEDUP
 from tideline.llm.simhash import groups, hexadecimal
 from tideline.llm.token_counts import token_counts
 from tideline.session import scratch_path
@@ -51,6 +51,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(table(spark, sf_dir, "documents"), {s: even[s] for s in range(8)}, even)
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("k").alias("doc_id"), "item_id", "similarity", "first_word")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -67,11 +72,12 @@ QUERIES: dict[str, Query] = {
         op4_packing,
         op5_line_dedup,
         op8_sharding,
+        op9_decontaminate,
         op10_token_counts,
     )
 }
 
-SQL: dict[str, str] = {"op5_line_dedup": LINE_DEDUP}
+SQL: dict[str, str] = {"op5_line_dedup": LINE_DEDUP, "op9_decontaminate": DECONTAMINATE}
 
 
 def queries() -> dict[str, Query]:

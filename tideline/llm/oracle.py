@@ -20,3 +20,25 @@ SELECT documents.doc_id, coalesce(len(string_split(text, chr(10))), 0)::INTEGER
     list_aggregate(list_filter(string_split(text, chr(10)), lambda y, k: NOT list_contains(gone, k - 1)), 'string_agg', chr(10)), '') END text
 FROM documents LEFT JOIN g USING (doc_id)
 """
+
+DECONTAMINATE = r"""
+WITH i AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') ws FROM benchmark),
+i2 AS (SELECT item_id, ws, len(ws) n, least(len(ws), 5) m FROM i WHERE len(ws) > 0),
+ig AS (SELECT item_id, n, m, unnest(range(0, n - m + 1)) o, ws FROM i2),
+isn AS (SELECT item_id, n, m, o, array_to_string(ws[o + 1:o + m], ' ') g FROM ig),
+ic AS (SELECT item_id, n, m, g, count(*) tc FROM isn GROUP BY ALL),
+ranked AS (SELECT item_id, n, g, row_number() OVER (PARTITION BY item_id, n ORDER BY md5(g), g) r FROM ic),
+anchor AS (SELECT DISTINCT n, m, o, g FROM isn JOIN ranked USING (item_id, n, g)
+  WHERE r <= floor(round(0.2 * (n - m + 1), 6)) + 1),
+d AS (SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') ws FROM documents WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, len(ws) l, m, unnest(range(0, len(ws) - m + 1)) p, ws FROM d, (SELECT DISTINCT m FROM anchor) WHERE len(ws) >= m),
+ds AS (SELECT doc_id, l, m, p, array_to_string(ws[p + 1:p + m], ' ') g FROM dg),
+w AS (SELECT DISTINCT doc_id, n, m, greatest(least(p - o, l - n), 0) s FROM ds JOIN anchor USING (g, m)),
+ww AS (SELECT doc_id, n, m, s, ws[s + 1:s + n] ws FROM w JOIN d USING (doc_id)),
+wg AS (SELECT doc_id, n, m, s, ws, greatest(len(ws) - m, 0) + 1 wn, unnest(range(0, greatest(len(ws) - m, 0) + 1)) p FROM ww),
+wc AS (SELECT doc_id, n, s, wn, array_to_string(ws[p + 1:p + m], ' ') g, count(*) wc FROM wg GROUP BY ALL),
+sim AS (SELECT doc_id, s, item_id, sum(least(wc, tc)) b, any_value(wn) wn, any_value(n - m + 1) tn
+  FROM wc JOIN ic USING (n, g) GROUP BY ALL),
+hit AS (SELECT doc_id, item_id, s, b / (wn + tn - b) similarity FROM sim WHERE b / (wn + tn - b) >= 0.8)
+SELECT doc_id, item_id, max(similarity)::DOUBLE similarity, arg_max(s, similarity * 1000000000 - s)::INTEGER first_word FROM hit GROUP BY ALL
+"""
