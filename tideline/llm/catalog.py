@@ -13,6 +13,7 @@ from tideline.llm.html_text import extract
 from tideline.llm.langid import held_out, identify, train
 from tideline.llm.packing import pack
 from tideline.llm.sharding import place
+from tideline.llm.neighbours import search
 from tideline.llm.oracle import DECONTAMINATE, LINE_DEDUP
 from tideline.llm.simhash import groups, hexadecimal
 from tideline.llm.token_counts import token_counts
@@ -46,6 +47,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return short.select("doc_id", "text", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = {s: 1.0 for s in range(9)}
     return place(table(spark, sf_dir, "documents"), {s: even[s] for s in range(8)}, even)
@@ -71,6 +77,7 @@ QUERIES: dict[str, Query] = {
         op3_language_id,
         op4_packing,
         op5_line_dedup,
+        op6_neighbours,
         op8_sharding,
         op9_decontaminate,
         op10_token_counts,
