@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import decontaminate, line_dedup
+from tideline.llm import decontaminate, line_dedup, repeats
 from tideline.llm.common import let_workers_import, table
 from tideline.llm.html_text import extract
 from tideline.llm.langid import held_out, identify, train
@@ -52,6 +52,10 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(table(spark, sf_dir, "documents"), length=200)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = {s: 1.0 for s in range(9)}
     return place(table(spark, sf_dir, "documents"), {s: even[s] for s in range(8)}, even)
@@ -78,6 +82,7 @@ QUERIES: dict[str, Query] = {
         op4_packing,
         op5_line_dedup,
         op6_neighbours,
+        op7_repeats,
         op8_sharding,
         op9_decontaminate,
         op10_token_counts,
