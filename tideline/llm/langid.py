@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNKNOWN = "und"
 BITS = 16
@@ -54,6 +55,11 @@ CHARS_AT_ONCE, DECODED_AT_ONCE = 1_500_000, 12_000_000
 FLOOR, SCRIPT_SHARE = -8.0, 0.01
 
 
+#: What a prediction over row numbers gives.
+SPANS = pa.list_(pa.struct([("first_word", pa.int32()), ("n_words", pa.int32()), ("lang", pa.string())]))
+RESULT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("spans", SPANS)])
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -317,3 +323,19 @@ def identify(docs: DataFrame, model: Model, penalty: float = 6.0, key: str = "do
     schema = f"doc_id {kind}, lang_pred string, score double, spans array<struct<first_word:int,n_words:int,lang:string>>"
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(predictor(shared, penalty), schema)
+
+
+def annotate(docs: DataFrame, model: Model, penalty: float = 6.0, text: str = "text") -> DataFrame:
+    """All columns, and __lang and __score of every row; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict = predictor(shared, penalty)
+        for batch in batches:
+            rows = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(text)], names=["doc_id", "text"])
+            found = pa.Table.from_batches(predict(iter([rows])), RESULT).combine_chunks()
+            columns = [*batch.columns, *(pa.concat_arrays(found.column(c).chunks) if batch.num_rows else pa.array([], found.schema.field(c).type) for c in ("lang_pred", "score"))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "__lang", "__score"])
+
+    added = [T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())]
+    return docs.mapInArrow(add, T.StructType([*docs.schema.fields, *added]))
