@@ -13,6 +13,7 @@ the width of white space share an entry. An empty table gives no rows. Other col
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -25,9 +26,9 @@ from tideline.llm.common import stash, utf8_length
 
 CACHE_SCHEMA = "version string, digest string, n_tokens long"
 #: Words that one Python worker remembers the length of at a time.
-REMEMBERED = 400_000
-#: Texts that are split into words at once.
-AT_ONCE = 256
+REMEMBERED = 200_000
+#: Texts that are split into words, and words that are encoded, at once.
+AT_ONCE, ENCODED_AT_ONCE = 64, 4096
 
 
 def normalised(text: Column) -> Column:
@@ -43,6 +44,7 @@ def counter(tokenizer: Broadcast[str]):
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_str(tokenizer.value)
@@ -58,7 +60,9 @@ def counter(tokenizer: Broadcast[str]):
                 if len(known) + len(wanted) > REMEMBERED:
                     known = {"": 0}
                 new = [w for w in wanted if w not in known]
-                known.update(zip(new, map(len, library.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+                for some in range(0, len(new), ENCODED_AT_ONCE):
+                    part = new[some : some + ENCODED_AT_ONCE]
+                    known.update(zip(part, map(len, library.encode_batch_fast(part, add_special_tokens=False)), strict=True))
                 totals += [sum(map(known.__getitem__, ws)) for ws in split]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("digest"), pa.array(totals, pa.int64())], names=["digest", "n_tokens"]
