@@ -29,28 +29,49 @@ from tideline.llm.common import stash, words
 MIN_WORDS = 5
 
 
+#: Rows up to which a table of line keys (under 100 bytes a row) is sent to every executor; beyond, Spark joins by shuffle.
+BROADCAST_ROWS = 250_000
+
+
 def _hashes(ws: Column, first: str, second: str) -> list[Column]:
     """128 bits of a word list, as two longs."""
     return [F.xxhash64(ws).alias(first), F.xxhash64(F.lit(1), ws).alias(second)]
 
 
+def _small(df: DataFrame, name: str) -> DataFrame:
+    """The table, written; marked for broadcast if it has few rows."""
+    kept = stash(df, name)
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+
+
+def _part(n: Column) -> Column:
+    """A length from 2, 3, 4, 6, 8, 12, ... that is half of n at most; neighbours mostly share it."""
+    power = F.pow(F.lit(2), F.floor(F.log2(n / 2))).cast("int")
+    return F.when(n < 4, 1).when(n * 2 >= power * 6, (power * 3 / 2).cast("int")).otherwise(power)
+
+
+def _halves(ws: Column, n: Column) -> Column:
+    """Keys of the first and the last part of a line; of two alike lines, one is the same.
+
+    The part is at most half of the shorter line, so the changed word lies outside one of the two. A
+    line also gives the parts of a line with a word less where these have another length.
+    """
+
+    def keys(size: Column) -> list[Column]:
+        first = F.xxhash64(F.lit("first"), size, F.slice(ws, F.lit(1), size))
+        return [first, F.xxhash64(F.lit("last"), size, F.slice(ws, n - size + 1, size))]
+
+    own, less = _part(n), _part(n - 1)
+    both = F.when((n > MIN_WORDS - 1) & (own != less), F.array(*keys(own), *keys(less))).otherwise(F.array(*keys(own)))
+    return F.when(n >= MIN_WORDS - 1, both)
+
+
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     """k, h (hash of the text), i (line number) and ws (words) of every line that is not blank."""
     rows = docs.select(
         F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("h"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("i", "line")
     )
-    return rows.select("k", "h", "i", words(F.lower("line")).alias("ws")).where(F.size("ws") > 0)
-
-
-def _halves(ws: Column, n: Column) -> Column:
-    """Keys of the first and the last half, for a line as it is and as one with a word too many."""
-    keys = []
-    for base in (n, n - 1):
-        half = F.floor(base / 2).cast("int")
-        rest = (base - half).cast("int")
-        keys.append(F.xxhash64(F.lit("first"), base, F.slice(ws, 1, half)))
-        keys.append(F.xxhash64(F.lit("last"), base, F.slice(ws, n - rest + 1, rest)))
-    return F.when(n >= MIN_WORDS, F.array(*keys)).when(n == MIN_WORDS - 1, F.array(*keys[:2]))
+    return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("k", "h", "i", words(F.lower("line")).alias("ws"))
 
 
 def _without(ws: Column, j: Column) -> Column:
@@ -58,63 +79,58 @@ def _without(ws: Column, j: Column) -> Column:
     return F.concat(F.slice(ws, F.lit(1), j - 1), F.slice(ws, j + 1, F.size(ws)))
 
 
-def near_lines(docs: DataFrame, lines: DataFrame, key: str, text: str) -> DataFrame:
-    """f1, f2, n of the distinct lines for which an alike, not equal line stands earlier."""
-    whole = ["f1", "f2", "n"]
-    keys = lines.where(F.col("halves").isNotNull()).select(*whole, F.explode("halves").alias("half")).distinct()
-    met = keys.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    wanted = keys.join(met, "half", "left_semi").select(*whole).distinct()
-    first = lines.groupBy(*whole).agg(F.min(F.struct("k", "h", "i")).alias("at"))
-    places = stash(first.join(wanted, whole, "left_semi"), "lines")
-
-    by_text = places.groupBy(F.col("at.k").alias("pk"), F.col("at.h").alias("ph")).agg(F.collect_list(F.struct("at.i", "f1", "f2", "n")).alias("own"))
+def candidates(docs: DataFrame, lines: DataFrame, key: str, text: str) -> DataFrame:
+    """id, f1, f2, n and ws of the distinct lines that share a half with another; ids follow the first places."""
+    keys = lines.where(F.col("halves").isNotNull()).select("f1", "f2", F.explode("halves").alias("half"))
+    met = keys.groupBy("half").agg(F.min("f1").alias("a"), F.max("f1").alias("b")).where("a <> b").select("half")
+    wanted = _small(keys.join(_small(met, "halves"), "half", "left_semi").distinct(), "wanted").select("f1", "f2")
+    places = lines.join(wanted, ["f1", "f2"], "left_semi").groupBy("f1", "f2").agg(F.min(F.struct("k", "h", "i")).alias("at"))
+    own = F.collect_list(F.struct("at.i", "f1", "f2")).alias("own")
+    by_text = _small(places.groupBy(F.col("at.k").alias("pk"), F.col("at.h").alias("ph")).agg(own), "by-text")
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).withColumn("h", F.xxhash64("t"))
     found = rows.join(by_text, F.col("k").eqNullSafe(F.col("pk")) & (F.col("h") == F.col("ph")))
-    # Rows equal in key and text would give a line twice.
-    found = found.select("k", "h", F.explode(F.transform("own", lambda o: F.struct(o.alias("o"), F.get(F.split("t", "\n", -1), o["i"]).alias("line")))).alias("x"))
-    picked = found.select("k", "h", "x.o.*", words(F.lower("x.line")).alias("ws")).dropDuplicates(whole)
-    near = stash(picked.select(F.struct("k", "h", "i").alias("at"), *whole, "ws"), "near-lines")
-
-    j = F.explode(F.sequence(F.lit(1), F.col("n"))).alias("j")
-    variants = near.where(F.col("n") >= MIN_WORDS).select("at", *whole, "ws", j)
-    left = _without(F.col("ws"), F.col("j"))
-    variants = stash(variants.select("at", *whole, "j", *_hashes(left, "r1", "r2")), "variants")
-
-    replaced = ["r1", "r2", "n", "j"]
-    earliest = variants.groupBy(*replaced).agg(F.min(F.struct("at", "f1", "f2")).alias("e"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    same = variants.join(earliest, replaced).where(F.col("e.at") < F.col("at"))
-    same = same.select(*whole, "j", F.col("e.f1").alias("o1"), F.col("e.f2").alias("o2"), F.col("n").alias("on"))
-    short = near.select(F.col("at").alias("s_at"), F.col("f1").alias("o1"), F.col("f2").alias("o2"), F.col("n").alias("on"))
-    hit = (F.col("r1") == F.col("o1")) & (F.col("r2") == F.col("o2")) & (F.col("n") == F.col("on") + 1)
-    inserted = variants.join(short, hit).select("at", *whole, "j", "s_at", "o1", "o2", "on")
-    longer = inserted.where("s_at < at").select(*whole, "j", "o1", "o2", "on")
-    # The shorter line meets the earliest of its longer ones only.
-    least = inserted.where("at < s_at").groupBy("o1", "o2", "on").agg(F.min(F.struct("at", *whole, "j")).alias("e"))
-    shorter = least.select(
-        F.col("o1").alias("f1"), F.col("o2").alias("f2"), F.col("on").alias("n"), F.col("e.j").alias("j"),
-        F.col("e.f1").alias("o1"), F.col("e.f2").alias("o2"), F.col("e.n").alias("on"),
-    )
-    links = same.union(longer).union(shorter)
-    own = near.select(*whole, "ws")
-    other = near.select(F.col("f1").alias("o1"), F.col("f2").alias("o2"), F.col("n").alias("on"), F.col("ws").alias("os"))
-    verified = links.join(own, whole).join(other, ["o1", "o2", "on"])
+    line = F.get(F.split("t", "\n", -1), F.col("o.i"))
+    found = found.select("k", "h", "t", F.explode("own").alias("o")).select("k", "h", "o.*", words(F.lower(line)).alias("ws"))
+    # Rows equal in key and text give a line twice.
+    once = found.dropDuplicates(["f1", "f2"]).select(F.struct("k", "h", "i").alias("at"), "f1", "f2", F.size("ws").alias("n"), "ws")
+    ordered = once.repartitionByRange("at").sortWithinPartitions("at")
+    return stash(ordered.select(F.monotonically_increasing_id().alias("id"), "f1", "f2", "n", "ws"), "candidates")
+
+
+def near_lines(docs: DataFrame, lines: DataFrame, key: str, text: str) -> DataFrame:
+    """f1 and f2 of the distinct lines for which an alike, not equal line stands earlier."""
+    near = candidates(docs, lines, key, text)
+    each = near.where(F.col("n") >= MIN_WORDS).select("id", "ws", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("j"))
+    variants = stash(each.select("id", "j", *_hashes(_without(F.col("ws"), F.col("j")), "r1", "r2")), "variants")
+
+    # The same word left out: alike by replacement, and the earliest of a key is met by all.
+    replaced = ["r1", "r2", "j"]
+    earliest = variants.groupBy(*replaced).agg(F.min("id").alias("other"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    same = variants.join(_small(earliest, "earliest"), replaced).where("other < id").select("id", "j", "other")
+    # A variant that is a whole line: the longer meets that line, the shorter the earliest of its longer ones.
+    whole = _small(near.select(F.col("id").alias("short"), F.col("f1").alias("r1"), F.col("f2").alias("r2")), "whole")
+    inserted = variants.join(whole, ["r1", "r2"]).select("id", "j", "short")
+    longer = inserted.where("short < id").select("id", "j", F.col("short").alias("other"))
+    least = inserted.where("id < short").groupBy("short").agg(F.min(F.struct("id", "j")).alias("e"))
+    shorter = least.select(F.col("short").alias("id"), F.col("e.j").alias("j"), F.col("e.id").alias("other"))
+
+    links = stash(same.union(longer).union(shorter), "links")
+    own = near.select("id", "f1", "f2", "n", "ws")
+    other = near.select(F.col("id").alias("other"), F.col("n").alias("on"), F.col("ws").alias("os"))
+    verified = links.join(own, "id").join(other, "other")
     a = F.when(F.col("n") < F.col("on"), F.col("ws")).otherwise(_without(F.col("ws"), F.col("j")))
     b = F.when(F.col("on") < F.col("n"), F.col("os")).otherwise(_without(F.col("os"), F.col("j")))
-    return verified.where(a == b).select(*whole).distinct()
+    return verified.where(a == b).select("f1", "f2").distinct()
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """k, h and gone, the numbers of the lines to remove, of every text that loses some."""
-    n = F.size("ws")
-    lines = lines_of(docs, key, text).select(
-        "k", "h", "i", n.alias("n"), *_hashes(F.col("ws"), "f1", "f2"), _halves(F.col("ws"), n).alias("halves")
-    )
-    lines = stash(lines, "all-lines")
-    whole = ["f1", "f2", "n"]
-    near = near_lines(docs, lines, key, text).withColumn("near", F.lit(True))
-    repeated = lines.groupBy(*whole).agg(F.min(F.struct("k", "h", "i")).alias("first"), F.count(F.lit(1)).alias("c"))
-    marked = repeated.join(near, whole, "left").where("c > 1 or near")
-    gone = lines.join(marked, whole).where(F.col("near").isNotNull() | (F.struct("k", "h", "i") != F.col("first")))
+    halves = _halves(F.col("ws"), F.size("ws")).alias("halves")
+    lines = stash(lines_of(docs, key, text).select("k", "h", "i", *_hashes(F.col("ws"), "f1", "f2"), halves), "all-lines")
+    near = _small(near_lines(docs, lines, key, text).withColumn("near", F.lit(True)), "near")
+    repeated = lines.groupBy("f1", "f2").agg(F.min(F.struct("k", "h", "i")).alias("first"), F.count(F.lit(1)).alias("c"))
+    marked = _small(repeated.join(near, ["f1", "f2"], "left").where("c > 1 or near"), "marked")
+    gone = lines.join(marked, ["f1", "f2"]).where(F.col("near").isNotNull() | (F.struct("k", "h", "i") != F.col("first")))
     return gone.groupBy("k", "h").agg(F.collect_set("i").alias("gone"))
 
 
