@@ -6,11 +6,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from tideline import catalog
 from verify import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry_point.queries()
-SQL = entry_point.oracle_sql()
+QUERIES = catalog.queries()
+SQL = catalog.oracle_sql()
 MODELS = ["ml_alert_model", "ml_quantile_bands", "ml_permutation_importance"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
@@ -30,6 +31,10 @@ def test_registry_is_consistent():
     assert all(n.startswith("ml_") for n in without)
 
 
+def test_entry_point_has_every_query():
+    assert set(QUERIES) <= set(entry_point.queries()) and set(SQL) <= set(entry_point.oracle_sql())
+
+
 def test_entry(spark):
     assert entry_point.entry(spark).count() == 5
 

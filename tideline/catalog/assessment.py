@@ -443,8 +443,11 @@ def _conformal(spark, sf):
     """SELECT COUNT(*) AS n, AVG(CASE WHEN y_stage = COALESCE(persist_stage_max, 0) THEN 1.0 ELSE 0 END) AS accuracy_persistence,
               AVG(CASE WHEN y_stage = m THEN 1.0 ELSE 0 END) AS accuracy_model,
               round_even(AVG(CASE WHEN y_stage = m THEN 1.0 ELSE 0 END) - AVG(CASE WHEN y_stage = COALESCE(persist_stage_max, 0) THEN 1.0 ELSE 0 END), 4) AS accuracy_delta,
-              AVG(ABS(y_max - persist_top_max)) AS mae_persistence, AVG(ABS(y_max - lw2_mean_top_max)) AS mae_model
-       FROM (SELECT *, CASE WHEN lw2_mean_top_max >= 490000 THEN 3 WHEN lw2_mean_top_max >= 460000 THEN 2 WHEN lw2_mean_top_max >= 400000 THEN 1 ELSE 0 END AS m
+              AVG(ABS(y_max - persist_top_max)) AS mae_persistence, AVG(ABS(y_max - lw2_mean_top_max)) AS mae_model,
+              ROUND(1 - SUM((ly - lp) ** 2) / (VAR_POP(ly) * COUNT(*)), 9) AS r2_persistence,
+              ROUND(1 - SUM((ly - lm) ** 2) FILTER (lm IS NOT NULL) / (VAR_POP(ly) FILTER (lm IS NOT NULL) * COUNT(lm)), 9) AS r2_model
+       FROM (SELECT *, LN(1 + GREATEST(y_max, 0)) AS ly, LN(1 + GREATEST(lw2_mean_top_max, 0)) AS lm,
+               LN(1 + GREATEST(COALESCE(persist_top_max, (SELECT MEDIAN(persist_top_max) FROM held WHERE split = 'test')), 0)) AS lp, CASE WHEN lw2_mean_top_max >= 490000 THEN 3 WHEN lw2_mean_top_max >= 460000 THEN 2 WHEN lw2_mean_top_max >= 400000 THEN 1 ELSE 0 END AS m
              FROM held WHERE split = 'test')""",
     (*SUP, _HOLD),
 )
@@ -454,7 +457,8 @@ def _compare(spark, sf):
 
     d = L.time_holdout(supervised(spark, sf), "week_start").where(F.col("split") == "test")
     d = d.withColumn("m", stage_from_value(F.col("lw2_mean_top_max"), WEEK_CUTS))
-    return V.compare_persistence(d, "y_stage", "m", "persist_stage_max", "y_max", "lw2_mean_top_max", "persist_top_max")
+    out = V.compare_persistence(d, "y_stage", "m", "persist_stage_max", "y_max", "lw2_mean_top_max", "persist_top_max")
+    return out.withColumns({c: F.round(c, 9) for c in ("r2_persistence", "r2_model")})
 
 
 @query(

@@ -266,10 +266,10 @@ def _importance(spark, sf):
     d, feats = learning_table(spark, sf)
     train, test = _parts(d)
     model = _alert(train, feats)
-    sample = cut_lineage(L.sample_rows(test, 400, ["key", "week_start"]))
+    rows = cut_lineage(test)
     p = F.greatest(F.least(F.col("p_1"), F.lit(1 - 1e-6)), F.lit(1e-6))
     loss = -F.log(F.when(F.col("alert") == 1, p).otherwise(1 - p))
-    return I.permutation_importance(model, sample, feats, ["key", "week_start"], loss, by=["y_alert"], prob="p")
+    return I.permutation_importance(model, rows, feats, ["key", "week_start"], loss, by=["y_alert"], prob="p")
 
 
 @query("ml_pair_interaction")
@@ -277,9 +277,9 @@ def _pairs(spark, sf):
     d, feats = learning_table(spark, sf)
     train, test = _parts(d)
     model = M.fit_gbt_regressor(train, feats, "y_log", ITER, DEPTH)
-    sample = cut_lineage(L.sample_rows(test, 120, ["key", "week_start"]))
+    rows = cut_lineage(test)
     err = F.col("y_log") - F.col("prediction_value")
-    return I.pair_interaction(model, sample, feats, ["key", "week_start"], err * err, among=feats[:6])
+    return I.pair_interaction(model, rows, feats, ["key", "week_start"], err * err)
 
 
 @query("ml_partial_dependence")

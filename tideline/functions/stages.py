@@ -32,8 +32,9 @@ def stage_from_label(
 
 
 def label_from_code(c: Column, names: Sequence[str]) -> Column:
+    """Name of a code, clamped to the list; a missing code has no name."""
     inside = F.least(F.greatest(c.cast("int"), F.lit(0)), F.lit(len(names) - 1))
-    return F.element_at(F.array(*[F.lit(n) for n in names]), inside + 1)
+    return F.when(c.isNotNull(), F.element_at(F.array(*[F.lit(n) for n in names]), inside + 1))
 
 
 def exceeds(v: Column, cut: float) -> Column:

@@ -162,12 +162,15 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 
 
 def histogram(df: DataFrame, value: str, width: int, name: str = "bin_start") -> DataFrame:
-    """Fixed-width counts from 0 to the largest value, empty bins included."""
+    """Fixed-width counts from 0 or the smallest value to the largest, empty bins included.
+
+    Only the two ends come to the driver; the bins between are made in parallel.
+    """
     bins = df.where(F.col(value).isNotNull()).groupBy((F.floor(F.col(value) / width) * width).alias(name))
     counts = bins.agg(F.count(F.lit(1)).alias("n"))
-    span = counts.agg(F.max(name).alias("__hi")).select(
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__hi"), F.lit(width).cast("bigint"))).alias(name)
-    )
+    lo, hi = counts.agg(F.min(name), F.max(name)).first()
+    ends = (0, 0) if hi is None else (min(int(lo), 0), int(hi) + 1)
+    span = df.sparkSession.range(*ends, width).select(F.col("id").alias(name))
     return span.join(counts, name, "left").na.fill(0, ["n"])
 
 

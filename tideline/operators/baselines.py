@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.functions.rows import floor_at
 from tideline.operators.series import Series
 from tideline.operators.splits import tail_split
 from tideline.operators.windows import persistence
@@ -20,13 +21,16 @@ def ses_baseline(
     The level starts at the first training value; of the given smoothing factors the
     one with the least squared one-step error on the training part is kept.  The
     series must be one row per key and period: its ordered values then fit one array.
+    Missing values take the median of the key's training values (0 without any).
     """
     if not s.daily:
         raise ValueError("ses_baseline needs one row per key and period; roll the table up first")
     split = tail_split(df, s, share)
-    split = persistence(split, s, {"__prev": value})
-    floor0 = F.greatest(F.col(value).cast("double"), F.lit(0.0))
-    prev0 = F.greatest(F.col("__prev").cast("double"), F.lit(0.0))
+    split = split.withColumn("__v", floor_at(F.col(value).cast("double"), 0.0))
+    medians = split.groupBy(*s.keys).agg(F.median(F.when(F.col("split") == "train", F.col("__v"))).alias("__median"))
+    split = split.join(medians, list(s.keys)).withColumn("__v", F.coalesce("__v", "__median", F.lit(0.0)))
+    split = persistence(split, s, {"__prev": "__v"})
+    floor0, prev0 = F.col("__v"), F.col("__prev")
     test = F.col("split") == "test"
     per_key = split.groupBy(*s.keys).agg(
         F.count(F.lit(1)).alias("n"),

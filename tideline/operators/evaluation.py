@@ -9,6 +9,8 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.functions.rows import floor_at, to_log
+from tideline.functions.stages import clamp
 from tideline.operators.quantiles import exact_quantiles
 from tideline.operators.ranking import running_totals
 
@@ -18,16 +20,25 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
+def _r2(y: Column, p: Column) -> Column:
+    """Share of the variance explained, over rows that have both; null without variance."""
+    both = y.isNotNull() & p.isNotNull()
+    sst = F.var_pop(F.when(both, y)) * F.count_if(both)
+    return F.when(sst > 0, 1 - F.sum((y - p) * (y - p)) / sst)
+
+
 def _f1(tp: Column, true: Column, pred: Column) -> Column:
     return _ratio(2.0 * tp, true + pred)
 
 
 def confusion(df: DataFrame, y: str, p: str, labels: Sequence[int]) -> DataFrame:
-    """Counts for every pair of labels, empty pairs included."""
+    """Counts for every pair of labels, empty pairs included; pairs with other labels follow as they occur."""
     counts = df.groupBy(F.col(y).alias("truth"), F.col(p).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
     codes = F.array(*[F.lit(i) for i in labels])
     grid = df.sparkSession.range(1).select(F.explode(codes).alias("truth")).withColumn("pred", F.explode(codes))
-    return grid.join(counts, ["truth", "pred"], "left").na.fill(0, ["n"])
+    both = (grid["truth"].eqNullSafe(counts["truth"])) & (grid["pred"].eqNullSafe(counts["pred"]))
+    pair = [F.coalesce(grid[c], counts[c]).alias(c) for c in ("truth", "pred")]
+    return grid.join(counts, both, "full").select(*pair, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def class_report(df: DataFrame, y: str, p: str, labels: Sequence[int]) -> DataFrame:
@@ -162,8 +173,15 @@ def interval_metrics(df: DataFrame, y: str, lo: str, mid: str, hi: str, alphas:
 
 
 def compare_persistence(df: DataFrame, y: str, model: str, previous: str, value: str, model_value: str, previous_value: str) -> DataFrame:
-    """Stage accuracy and value MAE of a model against the previous period."""
-    prev = F.coalesce(F.col(previous), F.lit(0))
+    """Stage accuracy, value MAE and log-scale R2 of a model against the previous period.
+
+    A missing previous stage is 0; rows with a missing previous value are left out of its MAE and take
+    the median of the others in its R2.
+    """
+    prev = F.coalesce(clamp(F.col(previous), 0, 3), F.lit(0))
+    middle = exact_quantiles(df, previous_value, [0.5], names=["__middle"])
+    df = df.join(F.broadcast(middle), how="left")
+    truth, known = to_log(F.col(value)), F.coalesce(F.col(previous_value), F.col("__middle"), F.lit(0.0))
     model_acc = F.avg((F.col(y) == F.col(model)).cast("double"))
     prev_acc = F.avg((F.col(y) == prev).cast("double"))
     return df.agg(
@@ -171,8 +189,10 @@ def compare_persistence(df: DataFrame, y: str, model: str, previous: str, value:
         prev_acc.alias("accuracy_persistence"),
         model_acc.alias("accuracy_model"),
         F.bround(model_acc - prev_acc, 4).alias("accuracy_delta"),
-        F.avg(F.abs(F.col(value) - F.greatest(F.col(previous_value), F.lit(0.0)))).alias("mae_persistence"),
-        F.avg(F.abs(F.col(value) - F.greatest(F.col(model_value), F.lit(0.0)))).alias("mae_model"),
+        F.avg(F.abs(F.col(value) - floor_at(F.col(previous_value), 0.0))).alias("mae_persistence"),
+        F.avg(F.abs(F.col(value) - floor_at(F.col(model_value), 0.0))).alias("mae_model"),
+        _r2(truth, to_log(known)).alias("r2_persistence"),
+        _r2(truth, to_log(F.col(model_value))).alias("r2_model"),
     )
 
 

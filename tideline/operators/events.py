@@ -72,14 +72,16 @@ def post_event_count(df: DataFrame, s: Series, event: str, hit: Column, days: in
 
 
 def transitions(df: DataFrame, s: Series, state: str, states: Sequence[int]) -> DataFrame:
-    """Counts of successive states over all keys, zero-filled over ``states``."""
+    """Counts of successive states over all keys, zero-filled over ``states``; other states follow as they occur."""
     steps = neighbour(df, s, {"__prev": state}).where(F.col("__prev").isNotNull())
     counts = steps.groupBy(F.col("__prev").alias("prev"), F.col(state).alias("curr")).agg(
         F.count(F.lit(1)).alias("n")
     )
     codes = F.array(*[F.lit(i) for i in states])
     grid = df.sparkSession.range(1).select(F.explode(codes).alias("prev")).withColumn("curr", F.explode(codes))
-    return grid.join(counts, ["prev", "curr"], "left").na.fill(0, ["n"])
+    both = grid["prev"].eqNullSafe(counts["prev"]) & grid["curr"].eqNullSafe(counts["curr"])
+    pair = [F.coalesce(grid[c], counts[c]).alias(c) for c in ("prev", "curr")]
+    return grid.join(counts, both, "full").select(*pair, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def transition_rows(df: DataFrame, s: Series, state: str, prev: int, curr: int) -> DataFrame:

@@ -16,9 +16,9 @@ def attach(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
 def attach_daily(df: DataFrame, series: DataFrame, time: str) -> DataFrame:
     """Left join of a table with one row per day onto every key's rows.
 
-    Such a table has 366 rows a year at most, so it goes to every task.
+    Such a table is small as a rule; whether it is sent to every task is left to Spark, which knows its size.
     """
-    return df.join(F.broadcast(series), time, "left")
+    return df.join(series, time, "left")
 
 
 def prefer_right(df: DataFrame, other: DataFrame, on: Sequence[str], cols: Sequence[str]) -> DataFrame:

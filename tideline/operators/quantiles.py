@@ -44,7 +44,9 @@ def exact_quantiles(
         i / 64 for i in range(1, 64)
     ]
     v = F.col(value).cast("double")
-    values = df.select(*by, v.alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    # Fields of a struct compare null-safe, so a null group is a group like any other.
+    group, by = by, ["__group"] if by else []
+    values = df.select(*[F.struct(*group).alias(g) for g in by], v.alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
     sketch = values.groupBy(*by).agg(
         F.percentile_approx("__v", probes, accuracy).alias("__pivots"), F.count(F.lit(1)).alias("n")
     )
@@ -87,7 +89,7 @@ def exact_quantiles(
         lo = F.element_at("__by_rank", F.floor(a))
         hi = F.coalesce(F.element_at("__by_rank", F.floor(a) + 1), lo)
         out.append((lo + (hi - lo) * (a - F.floor(a))).alias(name))
-    return picked.select(*by, *out)
+    return picked.select(*[F.col(by[0]).getField(g).alias(g) for g in group], *out)
 
 
 def count_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -110,7 +112,7 @@ def quantile_with_fallback(
 
 
 def median_impute(df: DataFrame, values: Sequence[str], fit_on: Column | None = None) -> DataFrame:
-    """Infinite and NaN to null, then null to the column's exact median.
+    """Infinite and NaN to null, then null to the column's exact median; 0 where there is no value.
 
     ``fit_on`` limits the rows the medians are taken from (the training part);
     without it they come from all rows.  The medians are one row of numbers; they are
@@ -123,7 +125,7 @@ def median_impute(df: DataFrame, values: Sequence[str], fit_on: Column | None =
     base = clean if fit_on is None else clean.where(fit_on)
     medians = column_medians(base, values).first().asDict()
     known = {v: medians[f"__med_{v}"] for v in values if medians[f"__med_{v}"] is not None}
-    return clean.withColumns({v: F.coalesce(F.col(v).cast("double"), F.lit(m)) for v, m in known.items()})
+    return clean.withColumns({v: F.coalesce(F.col(v).cast("double"), F.lit(known.get(v, 0.0))) for v in values})
 
 
 def column_medians(df: DataFrame, values: Sequence[str]) -> DataFrame:

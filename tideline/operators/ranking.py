@@ -80,8 +80,9 @@ def running_totals(
     over smaller values.  Pivots from a sketch cut the values into ranges of even
     weight, so no task has to order the whole table.
     """
-    by = list(by)
-    base = df.where(F.col(value).isNotNull())
+    # Fields of a struct compare null-safe, so a null group is a group like any other.
+    group, by = list(by), ["__group"] if by else []
+    base = df.where(F.col(value).isNotNull()).withColumns({g: F.struct(*group) for g in by})
     tied = base.groupBy(*by, value).agg(*[F.sum(c).alias(n) for n, c in totals.items()])
     probes = [i / parts for i in range(1, parts)]
     pivots = tied.groupBy(*by).agg(F.percentile_approx(value, probes, 1000).alias("__pivots"))
@@ -99,7 +100,7 @@ def running_totals(
     local = placed.withColumns({f"__l_{n}": F.coalesce(F.sum(n).over(inside), F.lit(0)) for n in totals})
     out = local.join(starts, [*by, "__r"])
     return out.select(
-        *by, value, *totals, *[(F.col(f"__s_{n}") + F.col(f"__l_{n}")).alias(f"before_{n}") for n in totals]
+        *[F.col(by[0]).getField(g).alias(g) for g in group], value, *totals, *[(F.col(f"__s_{n}") + F.col(f"__l_{n}")).alias(f"before_{n}") for n in totals]
     )
 
 

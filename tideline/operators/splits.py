@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.operators.ranking import hash_order, hash_rank
+from tideline.operators.ranking import global_rank, hash_order, hash_rank
 from tideline.operators.series import Series, with_position
+from tideline.session import cut_lineage
 
 
 def holdout_cut(df: DataFrame, time: str, share: float, name: str = "cut") -> DataFrame:
@@ -57,15 +58,34 @@ def expanding_folds(df: DataFrame, s: Series, n: int = 3, name: str = "fold") ->
 
     Block i is tested by a model trained on blocks 0..i-1; block 0 only trains.
     Blocks have rows // (n + 1) rows each, block 0 takes the rest, as in an
-    expanding time-series split.
+    expanding time-series split.  Counts per time give the borders; a time that lies
+    between two borders needs no order.  Rows without key or time are left out.
     """
-    whole = Series((), s.time, (*s.keys, *s.tie), daily=False, bucket_days=s.bucket_days)
-    placed = with_position(df, whole, "__p")
-    total = df.na.drop(subset=[s.time]).agg(F.count(F.lit(1)).alias("__n"))
-    size = F.floor(F.col("__n") / (n + 1))
-    first = F.col("__n") - size * n
-    fold = F.when(F.col("__p") < first, 0).otherwise(F.floor((F.col("__p") - first) / size) + 1)
-    return placed.join(F.broadcast(total), how="left").withColumn(name, fold.cast("int")).drop("__p", "__n")
+    rows = df.na.drop(subset=[*s.keys, s.time])
+    counts = rows.groupBy(s.time).agg(F.count(F.lit(1)).alias("__c"))
+    before = Window.orderBy(s.time).rowsBetween(Window.unboundedPreceding, -1)
+    # One row per time, which a calendar bounds.
+    times = counts.select(
+        s.time, "__c", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__first"), F.sum("__c").over(Window.partitionBy()).alias("__n")
+    )
+
+    def fold(p: Column) -> Column:
+        size = F.floor(F.col("__n") / (n + 1))
+        first = F.col("__n") - size * n
+        return F.when(p < first, 0).otherwise(F.floor((p - first) / size) + 1).cast("int")
+
+    times = times.withColumns({name: fold(F.col("__first")), "__to": fold(F.col("__first") + F.col("__c") - 1)})
+    times = cut_lineage(times)
+    placed = rows.join(times, s.time)
+    inside = placed.where(F.col(name) == F.col("__to")).select(*df.columns, name)
+    # Only rows of the times at a border are ordered, at most n of them.
+    border = placed.where(F.col(name) != F.col("__to"))
+    start = times.where(F.col(name) != F.col("__to")).select(
+        F.col(s.time).alias("__time"), F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__skipped")
+    )
+    ranked = global_rank(border, [s.time, *s.keys, *s.tie], "__rank").join(F.broadcast(start), F.col(s.time) == F.col("__time"))
+    position = F.col("__first") + F.col("__rank") - F.col("__skipped")
+    return inside.unionByName(ranked.withColumn(name, fold(position)).select(*df.columns, name))
 
 
 def class_weight_table(df: DataFrame, y: str, boost: dict[int, float] | None = None, name: str = "weight") -> DataFrame:

@@ -13,6 +13,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.functions.stages import clamp
 from tideline.operators.evaluation import _f1, _macro_f1, _ratio
 
 
@@ -86,11 +87,13 @@ def threshold_grid(
     """Metrics for every pair of thresholds from a joint histogram.
 
     The histogram has (|top| + 1) x (|caution| + 1) x 3 cells; two running sums over
-    it give, for each pair, how many rows of each class get each decision.
+    it give, for each pair, how many rows of each class get each decision. Classes above
+    2 count as 2, below 0 as 0; rows without a class are left out.
     """
     labels = [0, 1, 2]
     cells = (
-        df.where(F.col(y).isin(*labels))
+        df.where(F.col(y).isNotNull())
+        .withColumn(y, clamp(F.col(y), 0, 2))
         .groupBy(
             reached(F.col(p_top), top_grid).alias("__b"),
             reached(F.col(p_caution), caution_grid).alias("__c"),

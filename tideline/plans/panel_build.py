@@ -26,12 +26,18 @@ def build_panel(
     """Daily panel: counts grown between samples, quality interpolated, side series attached.
 
     ``samples`` holds one row per site and sample, ``weather`` one per station and
-    day, ``dam`` one per day.  ``tie`` orders samples of one site and day.
+    day, ``dam`` one per day.  ``tie`` orders samples of one site and day: the last that has a
+    value counts.  Without it, the values of all columns in alphabetical order do.
     """
     sparse = Series((X.SITE,), X.DATE, tuple(tie))
     daily = expand_growth(samples, sparse, list(counts))
     if quality:
-        own = samples.groupBy(X.SITE, X.DATE).agg(*[F.last(q, ignorenulls=True).alias(q) for q in quality])
+        if not tie:  # else which of two samples of a day counts would depend on the order of rows
+            tie = sorted(c for c in samples.columns if c not in (X.SITE, X.DATE))
+        last = F.struct(*tie)
+        own = samples.groupBy(X.SITE, X.DATE).agg(
+            *[F.max_by(q, F.when(F.col(q).isNotNull(), last)).alias(q) for q in quality]
+        )
         daily = attach(daily, own, [X.SITE, X.DATE])
         # Growth yields one row per site and day.
         series = Series((X.SITE,), X.DATE, daily=True)
