@@ -30,7 +30,7 @@ def test_panel_build(spark):
 
 
 def test_weekly_forecast(site_panel):
-    f = weekly_alert.forecast(site_panel, max_iter=2, depth=3, trees=4)
+    f = weekly_alert.forecast(site_panel, max_iter=2, depth=3, trees=4, forest_depth=6)
     weeks = site_panel.select(F.date_trunc("week", X.DATE)).distinct().count()
     assert f.supervised.count() == 3 * (weeks - 4)
     m = {(r["run"], r["metric"]): r["value"] for r in f.metrics.collect()}

@@ -27,8 +27,8 @@ from tideline.operators.joins import prefer_right
 from tideline.operators.quantiles import median_impute
 from tideline.operators.ranking import encode_key
 from tideline.session import scratch_path
-from tideline.sources.readers import read_panel, read_recommendations
-from tideline.sources.schema import coerce_types, drop_missing, drop_optional, normalize_headers
+from tideline.sources.readers import read_optional, read_panel, read_recommendations
+from tideline.sources.schema import coerce_types, drop_missing, drop_optional, normalize_headers, require_columns
 from tideline.sources.writers import write_table
 
 
@@ -381,17 +381,16 @@ def _bands(spark, sf):
     )
 
 
-@query(
-    "recommendations_json_round_trip",
-    """
+_RECOMMENDATIONS = """
     SELECT site, week, p, pred_stage, id, action FROM (
       SELECT o_orderpriority AS site, CAST(CAST(date_trunc('week', MAX(o_orderdate)) AS DATE) AS VARCHAR) AS week,
              COUNT(*) / CAST((SELECT COUNT(*) FROM orders) AS DOUBLE) AS p, 1 AS pred_stage, 'S3' AS id,
              UNNEST(['watch', 'sample']) AS action
       FROM orders GROUP BY o_orderpriority)
-    """,
-)
-def _json(spark, sf):
+    """
+
+
+def _recommendation_table(spark, sf):
     o = read(spark, sf, "orders")
     total = o.agg(F.count(F.lit(1)).alias("__all"))
     doc = F.struct(
@@ -401,7 +400,7 @@ def _json(spark, sf):
         F.lit("e").alias("예상"),
         F.array(F.lit("watch"), F.lit("sample")).alias("권고"),
     )
-    out = (
+    return (
         o.groupBy(F.col("o_orderpriority").alias("채수위치"))
         .agg(F.date_trunc("week", F.max("o_orderdate")).cast("date").cast("string").alias("week_start_target"), F.count(F.lit(1)).alias("__n"))
         .join(F.broadcast(total), how="left")
@@ -413,9 +412,10 @@ def _json(spark, sf):
             F.array(doc).alias("scenarios"),
         )
     )
-    path = scratch_path(spark, "recommendations_json")
-    write_table(out, path, "json")
-    back = read_recommendations(spark, path, lines=True).select("*", F.explode("scenarios").alias("s"))
+
+
+def _actions(docs):
+    back = docs.select("*", F.explode("scenarios").alias("s"))
     return back.select(
         F.col("채수위치").alias("site"),
         F.col("week_start_target").alias("week"),
@@ -424,3 +424,41 @@ def _json(spark, sf):
         F.col("s.id").alias("id"),
         F.explode("s.권고").alias("action"),
     )
+
+
+@query("recommendations_json_round_trip", _RECOMMENDATIONS)
+def _json(spark, sf):
+    path = scratch_path(spark, "recommendations_json")
+    write_table(_recommendation_table(spark, sf), path, "json")
+    return _actions(read_recommendations(spark, path, lines=True))
+
+
+@query("recommendations_array_per_file", _RECOMMENDATIONS)
+def _json_arrays(spark, sf):
+    """The form with one array of documents in each file; one file for each site here."""
+    docs = _recommendation_table(spark, sf)
+    path = scratch_path(spark, "recommendations_arrays")
+    arrays = docs.groupBy("채수위치").agg(F.to_json(F.collect_list(F.struct(*docs.columns))).alias("value"))
+    # A text file may hold several lines, a multi-line document only one array: a folder for each site.
+    arrays.select("value", F.hash("채수위치").alias("part")).write.partitionBy("part").text(path)
+    return _actions(read_recommendations(spark, path))
+
+
+@query(
+    "required_columns",
+    "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders",
+)
+def _required(spark, sf):
+    cols = ["o_orderkey", "o_custkey", "o_orderstatus"]
+    return require_columns(normalize_headers(read(spark, sf, "orders")), cols).select(*cols)
+
+
+@query(
+    "optional_tables",
+    "SELECT o_orderkey, o_totalprice, TRUE AS other_is_absent FROM orders",
+)
+def _optional(spark, sf):
+    """A table that is there is read; one that is not gives None, and no error."""
+    there = read_optional(spark, f"{sf}/orders.parquet", "parquet")
+    absent = read_optional(spark, f"{sf}/predictions_of_no_run.parquet", "parquet")
+    return there.select("o_orderkey", "o_totalprice", F.lit(absent is None).alias("other_is_absent"))

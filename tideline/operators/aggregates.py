@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.fixed_values import LAG_FAMILIES, LAG_FAMILY_OTHER
 from tideline.operators.quantiles import column_quantile_rows, count_quantiles
 from tideline.operators.series import Series, neighbour, with_position
 
@@ -183,7 +184,9 @@ def recent(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     return df.orderBy(*[F.col(c).desc() for c in order]).limit(n).orderBy(*order)
 
 
-def importance_families(importances: DataFrame, k: int, families: Sequence[tuple[str, str]], other: str) -> DataFrame:
+def importance_families(
+    importances: DataFrame, k: int, families: Sequence[tuple[str, str]] = LAG_FAMILIES, other: str = LAG_FAMILY_OTHER
+) -> DataFrame:
     """Top-k features counted by name family, ``families`` = (pattern, label), first match."""
     label = reduce(lambda acc, f: F.when(F.col("feature").rlike(f[0]), f[1]).otherwise(acc), reversed(list(families)), F.lit(other))
     top = importances.orderBy(F.col("importance").desc(), "feature").limit(k)

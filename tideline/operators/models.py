@@ -266,16 +266,20 @@ def compare_leads(
 
 
 def fit_per_key(
-    df: DataFrame, key: str, values: Sequence, fit: Callable[[DataFrame], PipelineModel], predict: Callable[[PipelineModel, DataFrame], DataFrame]
+    df: DataFrame, key: str, values: Sequence | None, fit: Callable[[DataFrame], PipelineModel], predict: Callable[[PipelineModel, DataFrame], DataFrame], most: int = 200
 ) -> DataFrame:
-    """One model per listed key value, pooled predictions on the test rows.
+    """One model per key value, pooled predictions on the test rows.
 
-    The caller names the keys, so their number is known; each fit is a Spark job of
-    its own on that key's rows.
+    ``values`` None takes every key of the table, the null key included, up to ``most``;
+    more is an error.  Each fit is a Spark job of its own on that key's rows.
     """
+    if values is None:
+        values = sorted((r[0] for r in df.select(key).distinct().limit(most + 1).collect()), key=str)
+        if len(values) > most:
+            raise ValueError(f"more than {most} keys; fit one model over all, with the key as a feature")
     pooled = None
     for v in values:
-        own = df.where(F.col(key) == v)
+        own = df.where(F.col(key).eqNullSafe(F.lit(v)))
         part = predict(fit(own.where(F.col("split") == "train")), own.where(F.col("split") == "test"))
         pooled = part if pooled is None else pooled.unionByName(part)
     return pooled

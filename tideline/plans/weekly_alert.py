@@ -114,7 +114,7 @@ def weekly_rules(p_alert: str, pred_value: str, ref_inflow: str, columns: list[s
 
 
 def forecast(
-    raw: DataFrame, holdout: float = 0.15, max_iter: int = 40, depth: int = 5, trees: int = 100, impute_all: bool = False
+    raw: DataFrame, holdout: float = 0.15, max_iter: int = 40, depth: int = 5, trees: int = 250, forest_depth: int = 14, impute_all: bool = False
 ) -> Forecast:
     """The whole flow from a raw panel to predictions, recommendations and metrics.
 
@@ -139,14 +139,14 @@ def forecast(
     reg = M.fit_gbt_regressor(train, feats, "y_log", max_iter, depth)
     staged = L.class_weights(train, "y3", name="w")
     classes = [0, 1, 2, 3]
-    forest = M.fit_forest(staged, feats, "y3", weight="w", trees=trees, depth=min(14, depth * 2))
+    forest = M.fit_forest(staged, feats, "y3", weight="w", trees=trees, depth=forest_depth)
     weighted = L.class_weights(train, "y_bin", name="w")
 
     def alert(rows: DataFrame):
         return M.fit_alert_model(rows, feats, "y_bin", "w", max_iter=max_iter, depth=depth)
 
     boosted = alert(weighted)
-    bagged = M.fit_forest(weighted, feats, "y_bin", weight="w", trees=trees, depth=min(14, depth * 2))
+    bagged = M.fit_forest(weighted, feats, "y_bin", weight="w", trees=trees, depth=forest_depth)
     calibrate = M.calibrate_isotonic(weighted, alert, "y_bin", [X.SITE, WEEK])
     outside = [c for c in feats if not any(part in c for part in X.ENDOGENOUS)]
     exo = M.fit_alert_model(weighted, outside, "y_bin", "w", max_iter=max_iter, depth=depth)

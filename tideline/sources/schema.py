@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideline.fixed_values import REQUIRED
+
 
 def normalize_headers(df: DataFrame, renames: dict[str, str] | None = None) -> DataFrame:
     """Trim headers, drop line breaks and repeated blanks, then rename.
@@ -18,7 +20,7 @@ def normalize_headers(df: DataFrame, renames: dict[str, str] | None = None) -> D
     return clean.withColumnsRenamed(renames or {})
 
 
-def require_columns(df: DataFrame, cols: Iterable[str]) -> DataFrame:
+def require_columns(df: DataFrame, cols: Iterable[str] = REQUIRED) -> DataFrame:
     missing = sorted(set(cols) - set(df.columns))
     if missing:
         raise ValueError(f"missing columns: {missing}")
