@@ -239,7 +239,8 @@ def _mismatch(spark, sf):
     return A.mismatch_rate(d, "a", "b")
 
 
-_PROFILED = ["l_quantity", "l_partkey", "l_linenumber"]
+_PROFILED = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_NAMED = ["l_returnflag", "l_linestatus", "l_shipdate"]
 
 
 @query(
@@ -247,14 +248,27 @@ _PROFILED = ["l_quantity", "l_partkey", "l_linenumber"]
     " UNION ALL ".join(
         f"""SELECT '{c}' AS column_name, COUNT({c}) AS n, ROUND(AVG({c}), 4) AS mean, ROUND(STDDEV_SAMP({c}), 4) AS sd,
             CAST(MIN({c}) AS DOUBLE) AS min, CAST(MAX({c}) AS DOUBLE) AS max, 0.0::DOUBLE AS missing_rate,
-            COUNT(DISTINCT {c}) AS n_distinct, quantile_cont({c}::DOUBLE, 0.25) AS q25, quantile_cont({c}::DOUBLE, 0.5) AS q50,
-            quantile_cont({c}::DOUBLE, 0.75) AS q75 FROM lineitem"""
+            COUNT(DISTINCT {c}) AS n_distinct, ROUND(quantile_cont({c}::DOUBLE, 0.25), 4) AS q25, ROUND(quantile_cont({c}::DOUBLE, 0.5), 4) AS q50,
+            ROUND(quantile_cont({c}::DOUBLE, 0.75), 4) AS q75 FROM lineitem"""
         for c in _PROFILED
     ),
 )
 def _profile(spark, sf):
     out = A.profile(read(spark, sf, "lineitem"), _PROFILED)
-    return out.withColumns({c: F.round(c, 4) for c in ["mean", "sd"]})
+    return out.withColumns({c: F.round(c, 4) for c in ["mean", "sd", "q25", "q50", "q75"]})
+
+
+@query(
+    "column_profile_text",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, COUNT({c}) AS n, 1 - COUNT({c}) / COUNT(*) AS missing_rate, COUNT(DISTINCT {c}) AS n_distinct,
+            (SELECT CAST({c} AS VARCHAR) FROM lineitem WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY COUNT(*) DESC, CAST({c} AS VARCHAR) LIMIT 1) AS top,
+            (SELECT MAX(k) FROM (SELECT COUNT(*) AS k FROM lineitem WHERE {c} IS NOT NULL GROUP BY {c})) AS top_n FROM lineitem"""
+        for c in _NAMED
+    ),
+)
+def _profile_text(spark, sf):
+    return A.profile_text(read(spark, sf, "lineitem"), _NAMED)
 
 
 @query(

@@ -155,6 +155,27 @@ def profile(df: DataFrame, values: Sequence[str]) -> DataFrame:
     )
 
 
+def profile_text(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Count, missing share, distinct values, most frequent value and its count per column, of any type.
+
+    Values are counted per column before anything is gathered; the smallest value wins a tie.
+    """
+    pairs = df.select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in cols])).alias("x")
+    ).select("x.*")
+    counts = pairs.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("__c"))
+    known, present = F.col("v").isNotNull(), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("__c"))), F.lit(0))
+    sums = counts.groupBy("column_name").agg(
+        present.alias("n"),
+        (1 - present / F.sum("__c")).alias("missing_rate"),
+        F.count_if(known).alias("n_distinct"),
+        F.max(F.when(known, F.col("__c"))).alias("top_n"),
+    )
+    tops = counts.where(known).join(F.broadcast(sums.select("column_name", F.col("top_n").alias("__c"))), ["column_name", "__c"])
+    top = tops.groupBy("column_name").agg(F.min("v").alias("top"))
+    return sums.join(F.broadcast(top), "column_name", "left")
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row of each key, by partial aggregation."""
     rest = [c for c in df.columns if c not in keys]
