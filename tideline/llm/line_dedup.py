@@ -57,21 +57,20 @@ def _halves(ws: Column, n: Column) -> Column:
     line also gives the parts of a line with a word less where these have another length.
     """
 
-    def keys(size: Column) -> list[Column]:
+    def keys(size: Column) -> Column:
         first = F.xxhash64(F.lit("first"), size, F.slice(ws, F.lit(1), size))
-        return [first, F.xxhash64(F.lit("last"), size, F.slice(ws, n - size + 1, size))]
+        return F.array(first, F.xxhash64(F.lit("last"), size, F.slice(ws, n - size + 1, size)))
 
-    own, less = _part(n), _part(n - 1)
-    both = F.when((n > MIN_WORDS - 1) & (own != less), F.array(*keys(own), *keys(less))).otherwise(F.array(*keys(own)))
-    return F.when(n >= MIN_WORDS - 1, both)
+    sizes = F.when(n >= MIN_WORDS, F.array_distinct(F.array(_part(n), _part(n - 1)))).when(n == MIN_WORDS - 1, F.array(_part(n)))
+    return F.flatten(F.transform(sizes, keys))
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     """k, h (hash of the text), i (line number) and ws (words) of every line that is not blank."""
-    rows = docs.select(
-        F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("h"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("i", "line")
-    )
-    return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("k", "h", "i", words(F.lower("line")).alias("ws"))
+    # The words are made inside the generator, so everything derived from them reads them and does not make them again.
+    each = F.transform(F.split(F.col(text), "\n", -1), lambda line: words(F.lower(line)))
+    rows = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("h"), F.posexplode(each).alias("i", "ws"))
+    return rows.where(F.size("ws") > 0)
 
 
 def _without(ws: Column, j: Column) -> Column:
