@@ -64,6 +64,44 @@ def test_recall(spark):
     assert recall >= 0.9
 
 
+@pytest.mark.parametrize("move", [200, 0])
+def test_measured_probes_reach_the_recall(spark, monkeypatch, move):
+    """Without structure in 64 dimensions, a fixed 112 leaves of 31 rows lose most neighbours; by forest or by all rows."""
+    monkeypatch.setattr(neighbours, "MOVE", move)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(16000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    few = table.where("vec_id % 100 = 0")
+    scores = x[::100] @ x.T
+    scores[np.arange(160), np.arange(0, 16000, 100)] = -2
+    want = np.argsort(-scores, axis=1)[:, :20]
+
+    def recall(**options):
+        got = by_query(neighbours.search(table, few, leaf_rows=16, **options))
+        return np.mean([len({r.vec_id for r in got[100 * i]} & set(w.tolist())) / 20 for i, w in enumerate(want)])
+
+    assert recall(probes=112) < 0.9 <= recall()
+
+
+def test_probes_needed_is_the_least():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 16))
+    forest = neighbours.fit(x, float(np.sqrt((x * x).sum(1).max())), 4, 5)
+    found = [(q, x[np.argsort(-(x @ q))[:20]]) for q in x[:20]]
+
+    def recall(count):
+        hit = []
+        for q, rows in found:
+            _, tree, leaf = forest.probes(q[None], count)
+            met = set(zip(tree.tolist(), leaf.tolist(), strict=True))
+            hit.append(np.mean([any((t, v) in met for t, v in enumerate(own)) for own in forest.leaves(rows).tolist()]))
+        return np.mean(hit)
+
+    n = neighbours.probes_needed(forest, found, 0.9)
+    assert recall(n) >= 0.9 > recall(n - 1)
+
+
 def test_few_rows_and_none(spark):
     table = spark.createDataFrame([(20, [1.0, 2.0]), (21, [2.0, 1.0]), (40, [1.0, 2.0])], "vec_id long, embedding array<float>")
     got = by_query(neighbours.search(table, table.where("vec_id % 20 = 0")))

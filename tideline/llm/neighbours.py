@@ -6,12 +6,17 @@ priority queue: the node that lies nearest on the wrong side of its cuts comes n
 is in, until ``probes`` leaves are reached. Queries and rows meet by leaf, scores are computed exactly on
 the original vectors, and the best of all leaves are merged.
 
+How many leaves that takes is measured: the true neighbours of ``CHECKED`` queries are found by comparing them with all
+rows, and ``probes`` is the least number of leaves that gives them a mean recall of ``RECALL``. Where
+comparing every query with every row costs less than the forest, that is done instead, and is exact.
+
 Inner products become distances by one more coordinate that gives every row the same length.
 Only as many rows of equal vectors as a query can return (smallest ids) enter the index, and equal
 queries search once, so copies cost nothing. A leaf with many rows or queries is cut into parts, and every
 pair of parts is work of bounded size.
 
-Bounds: trees are fitted on ``SAMPLE`` rows at most, chosen by hash; every row is indexed.
+Bounds: trees are fitted on ``SAMPLE`` rows at most, chosen by hash; every row is indexed. The driver holds
+``CHECKED`` queries with k neighbours each.
 
 Edge cases: vectors that are null, zero, hold nulls, NaN or infinities, or are of another length than most, take no
 part, as query or row. Rows with the id of the query count as its own. Fewer rows than k give all of them.
@@ -34,6 +39,10 @@ from tideline.llm.common import stash
 SAMPLE = 20_000
 #: Rows of a leaf or its queries that are compared at once.
 PART = 4096
+#: Queries whose true neighbours are looked up, and the share of these that the probes must find; above 0.9, as it is a sample.
+CHECKED, RECALL = 128, 0.95
+#: Comparisons that cost as much as moving one vector between tasks.
+MOVE = 200
 
 
 @dataclass
@@ -112,6 +121,23 @@ def fit(sample: np.ndarray, radius: float, trees: int, depth: int, seed: int = 7
     return forest
 
 
+def positions(forest: Forest, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """How many leaves one query visits, in its order, until it meets each of the rows."""
+    _, tree, leaf = forest.probes(query[None], forest.trees << forest.depth)
+    order = np.zeros((forest.trees, 1 << forest.depth), np.int64)
+    order[tree, leaf] = np.arange(1, len(tree) + 1)
+    return order[np.arange(forest.trees), forest.leaves(rows)].min(1)
+
+
+def probes_needed(forest: Forest, found: list[tuple[np.ndarray, np.ndarray]], recall: float = RECALL) -> int:
+    """The least number of leaves with which the mean recall of (query, its true neighbours) reaches ``recall``."""
+    at = np.concatenate([positions(forest, q, rows) for q, rows in found])
+    weight = np.concatenate([np.full(len(rows), 1 / len(rows)) for _, rows in found])
+    order = np.argsort(at, kind="stable")
+    reached = np.cumsum(weight[order]) / weight.sum()
+    return int(at[order][min(np.searchsorted(reached, recall - 1e-9), len(at) - 1)])
+
+
 def usable(vector: Column) -> Column:
     """Not null, no part null or not finite, not zero."""
     finite = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -174,19 +200,70 @@ def _best(dim: int, k: int):
 def _top(query: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int):
     for s in range(0, len(query), 256):
         scores = q[s : s + 256] @ x.T
+        if scores.shape[1] > 4 * k:
+            # Only what reaches the k-th best score of its query is put in order, ties included.
+            least = np.partition(scores, -k, axis=1)[:, -k, None]
+            row, at = np.nonzero(scores >= least)
+            score, own = scores[row, at], ids[at]
+            order = np.lexsort((own, -score, row))
+            first = np.searchsorted(row, np.arange(len(scores)))
+            order = order[np.arange(len(row)) - first[row] < k]
+            yield query[s : s + 256][row[order]], own[order], score[order]
+            continue
         order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
         n = order.shape[1]
         yield np.repeat(query[s : s + 256], n), ids[order].ravel(), np.take_along_axis(scores, order, 1).ravel()
 
 
+def _all_best(asked, dim: int, k: int):
+    """Arrow batches (id, vec) to (query, id, score, vec): the best rows of a task for each of the broadcast queries."""
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, q = asked.value
+        kept: list[tuple] | None = None
+        for batch in batches:
+            ids, x = batch.column("id").to_numpy(), _matrix(batch.column("vec"), dim).astype(np.float64)
+            if not len(ids):
+                continue
+            found = [np.concatenate(c) for c in zip(*_top(np.arange(len(queries)), q, ids, x, k), strict=True)]
+            place = np.argsort(ids, kind="stable")
+            vectors = x[place[np.searchsorted(ids, found[1], sorter=place)]]
+            mine = [*found, vectors]
+            if kept is not None:
+                mine = [np.concatenate(c) for c in zip(kept, mine, strict=True)]
+            order = np.lexsort((mine[1], -mine[2], mine[0]))
+            number = mine[0][order]
+            first = np.searchsorted(number, np.arange(len(queries)))
+            order = order[np.arange(len(number)) - first[number] < k]
+            kept = [c[order] for c in mine]
+        if kept is not None:
+            vec = pa.FixedSizeListArray.from_arrays(pa.array(kept[3].ravel()), dim).cast(pa.list_(pa.float64()))
+            columns = [pa.array(queries[kept[0]]), pa.array(kept[1]), pa.array(kept[2]), vec]
+            yield pa.RecordBatch.from_arrays(columns, names=["query", "id", "score", "vec"])
+
+    return best
+
+
+def true_neighbours(distinct: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The vectors of the k best rows of a few queries, the query's own id left out, found in all rows."""
+    asked = distinct.sparkSession.sparkContext.broadcast((ids, q))
+    found = distinct.mapInArrow(_all_best(asked, q.shape[1], k + 1), "query long, id long, score double, vec array<double>")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    near = found.where("id <> query").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    rows: dict[int, list] = {}
+    for r in near.select("query", "vec").collect():
+        rows.setdefault(r[0], []).append(r[1])
+    return [(x, np.array(rows[int(i)])) for i, x in zip(ids, q, strict=True) if int(i) in rows]
+
+
 def search(
-    vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 16, probes: int = 112, leaf_rows: int = 256,
+    vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 16, probes: int | None = None, leaf_rows: int = 256,
     key: str = "vec_id", vector: str = "embedding",
 ) -> DataFrame:
     """query_id, rank, vec_id and score of the k best rows found for each query, its own id left out.
 
     ``queries`` has the columns of ``vectors``. ``probes`` is how many leaves of about ``leaf_rows`` rows a
-    query visits over all trees; more find more.
+    query visits over all trees; more find more. If left out, it is measured on a fixed set of the queries.
     """
     spark = vectors.sparkSession
     x = F.col(vector)
@@ -214,12 +291,27 @@ def search(
     sample = np.array([r[0] for r in drawn.select("vec").limit(2 * SAMPLE).collect()], np.float64).reshape(-1, dim)
     most = max(len(sample) // 16, 1)
     depth = 0 if n <= 4 * leaf_rows else int(np.log2(min(n / leaf_rows, most)))
-    forest = spark.sparkContext.broadcast(fit(sample, float(np.sqrt(square)), trees if depth else 1, depth))
-
     named = asked.groupBy("e1", "e2").agg(F.min("id").alias("first"))
     named = stash(asked.select("id", "e1", "e2").join(named, ["e1", "e2"]).select(F.col("id").alias("query_id"), "first"), "queries")
     firsts = named.select(F.col("first").alias("id")).distinct()
     once = asked.select("id", "vec").join(firsts, "id", "left_semi").dropDuplicates(["id"])
+    asks = once.count() if depth and probes is None else 0
+    moved = n * -(-asks // PART) + asks * -(-n // PART)
+
+    def forest_pays(leaves: int) -> bool:
+        return (trees * n + leaves * asks) * MOVE + leaves * asks * (n >> depth) < moved * MOVE + n * asks
+
+    if asks and not forest_pays(trees):
+        depth = 0
+    fitted = fit(sample, float(np.sqrt(square)), trees if depth else 1, depth)
+    if asks and depth:
+        some = once.orderBy(F.xxhash64("id"), "id").limit(CHECKED).collect()
+        ids, x = np.array([r["id"] for r in some]), np.array([r["vec"] for r in some], np.float64)
+        probes = probes_needed(fitted, true_neighbours(distinct, ids, x, k))
+        if not forest_pays(probes):
+            depth, fitted = 0, fit(sample, float(np.sqrt(square)), 1, 0)
+    probes = probes or 1
+    forest = spark.sparkContext.broadcast(fitted)
     kind = vectors.schema[vector].dataType.simpleString()
     schema = f"tree int, leaf int, id long, vec {kind}"
     placed = distinct.mapInArrow(_spread(forest, dim, None), schema)
