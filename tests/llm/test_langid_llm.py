@@ -39,6 +39,13 @@ def test_decoding_is_optimal():
                 assert value_of(scores[s:e], path[s:e].astype(int), penalty) == pytest.approx(best)
 
 
+def test_a_third_language_is_no_compromise():
+    """Both halves leave the best single language for less than the penalty each, and together for more."""
+    scores = np.array([[-5.0, 0.0, -12.0], [-5.0, -12.0, 0.0]])
+    assert langid.decode(scores, np.array([0, 2]), 6.0).tolist() == [1, 2]
+    assert value_of(scores, [1, 2], 6.0) > value_of(scores, [0, 0], 6.0)
+
+
 LATIN = {"aa": "banana tamara kalamata baraka", "bb": "skrift stykke hvordan sproget", "cc": "привет дорога человек слово"}
 
 

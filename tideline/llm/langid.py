@@ -6,8 +6,8 @@ n-grams give each candidate a log probability. Viterbi decoding over the words,
 each change of language, labels spans. A text takes the language of most letters; its score is
 the mean probability of that language over the letters of the text.
 
-Most texts need no decoding step by step: if no run of words prefers another language by more than one
-penalty, no change can pay, and the best path is one span. This is decided for many texts at once;
+Most texts need no decoding step by step: if no run of words prefers another language by more than half a
+penalty, no changes can pay, however many, and the best path is one span. This is decided for many texts at once;
 only the others are decoded, in lockstep.
 
 Edge cases: null texts, texts without a letter, and texts whose letters no learned language uses give
@@ -257,7 +257,8 @@ def decode(scores: np.ndarray, bounds: np.ndarray, penalty: float) -> np.ndarray
         low = np.minimum.accumulate(before)
         gain = np.maximum(gain, np.maximum.reduceat(run - low, starts))
     path[:] = best[owner]
-    mixed = np.flatnonzero(gain > penalty)
+    # s spans gain s * gain at most over one language and cost (s - 1) * penalty, so up to half the penalty none pay.
+    mixed = np.flatnonzero(gain > penalty / 2)
     if len(mixed):
         part = np.concatenate([np.arange(s, e) for s, e in zip(starts[mixed], ends[mixed], strict=True)])
         cut = np.concatenate([[0], np.cumsum((ends - starts)[mixed])])
