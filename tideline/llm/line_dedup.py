@@ -2,7 +2,7 @@
 
 A line's symbols are its words in lower case. Two lines are alike if they have the same words, or if one
 word inserted, dropped or replaced turns one into the other and the longer has at least
-``MIN_WORDS`` words (a similarity of 0.8 or more). A line is removed if an alike line stands earlier,
+``MIN_WORDS`` words. One edit is the bound whatever a line's length: two changed words in a long line keep it. A line is removed if an alike line stands earlier,
 by document key, then line number; that one may itself go because of a still earlier one.
 
 Equal lines collapse first. Each distinct line gives its deletion variants, one per word, as hashed
