@@ -7,16 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import decontaminate, line_dedup, repeats
+from tideline.llm import decontaminate, line_dedup, quality_rules, repeats
 from tideline.llm.common import let_workers_import, table
 from tideline.llm.html_text import extract
 from tideline.llm.langid import held_out, identify, train
 from tideline.llm.packing import pack
 from tideline.llm.sharding import place
 from tideline.llm.neighbours import search
-from tideline.llm.oracle import DECONTAMINATE, LINE_DEDUP
+from tideline.llm.oracle import DECONTAMINATE, LINE_DEDUP, QUALITY_RULES
 from tideline.llm.simhash import groups, hexadecimal
 from tideline.llm.token_counts import token_counts
+from tideline.llm.whitening import whiten
 from tideline.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +74,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), cache, str(public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), components=4)
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.withColumn("failed", F.array_join("failed", ", "))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -86,10 +96,12 @@ QUERIES: dict[str, Query] = {
         op8_sharding,
         op9_decontaminate,
         op10_token_counts,
+        op11_whitening,
+        op12_quality_rules,
     )
 }
 
-SQL: dict[str, str] = {"op5_line_dedup": LINE_DEDUP, "op9_decontaminate": DECONTAMINATE}
+SQL: dict[str, str] = {"op5_line_dedup": LINE_DEDUP, "op9_decontaminate": DECONTAMINATE, "op12_quality_rules": QUALITY_RULES}
 
 
 def queries() -> dict[str, Query]:

@@ -1,5 +1,7 @@
 """SQL that must give the same rows, for the operators that SQL can express."""
 
+from tideline.llm.quality_rules import STOP_WORDS
+
 LINE_DEDUP = r"""
 WITH s AS (SELECT DISTINCT doc_id, string_split(text, chr(10)) ls FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, unnest(ls) line, generate_subscripts(ls, 1) - 1 i FROM s),
@@ -42,3 +44,34 @@ sim AS (SELECT doc_id, s, item_id, sum(least(wc, tc)) b, any_value(wn) wn, any_v
 hit AS (SELECT doc_id, item_id, s, b / (wn + tn - b) similarity FROM sim WHERE b / (wn + tn - b) >= 0.8)
 SELECT doc_id, item_id, max(similarity)::DOUBLE similarity, arg_max(s, similarity * 1000000000 - s)::INTEGER first_word FROM hit GROUP BY ALL
 """
+
+QUALITY_RULES = r"""
+WITH d AS (SELECT row_number() OVER () k, doc_id, coalesce(text, '') t FROM documents),
+w AS (SELECT k, regexp_extract_all(t, '[^\x20\x09-\x0D]+') ws,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) ls FROM d),
+g AS (SELECT k, i, array_to_string(ws[i:i + 2], ' ') g FROM (SELECT k, ws, unnest(range(1, len(ws) - 1)) i FROM w)),
+often AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) c FROM g) WHERE c > 1),
+rep AS (SELECT k, count(DISTINCT i + j) n FROM often, (SELECT unnest([0, 1, 2]) j) GROUP BY k),
+m AS (
+  SELECT doc_id, len(ws) n_words, length(array_to_string(ws, '')) word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]')) n_symbols,
+    len(list_filter(ws, lambda x: regexp_matches(x, '\p{L}'))) n_letter_words,
+    len(list_filter(ws, lambda x: regexp_matches(x, '^\P{Ll}*\p{Lu}\P{Ll}*$'))) n_capital_words,
+    len(list_filter(ws, lambda x: list_contains([__STOP_WORDS__], lower(trim(x, '.,;:!?"''()'))))) n_stop_words,
+    coalesce(rep.n, 0) n_repeat_words, len(ls) n_lines, len(ls) - len(list_distinct(ls)) n_dup_lines,
+    len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•‣◦]'))) n_bullet_lines,
+    len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) n_cut_lines
+  FROM d JOIN w USING (k) LEFT JOIN rep USING (k)),
+r AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words base_failed, array_to_string(list_filter([
+    CASE WHEN n_words NOT BETWEEN 50 AND 200000 THEN 'word count' END,
+    CASE WHEN 100 * word_chars NOT BETWEEN 200 * n_words AND 1500 * n_words THEN 'mean word length' END,
+    CASE WHEN 100 * n_symbols > 10 * n_words THEN 'symbols' END,
+    CASE WHEN 100 * n_letter_words < 70 * n_words THEN 'words with a letter' END,
+    CASE WHEN 100 * n_capital_words > 50 * n_words THEN 'words in capitals' END,
+    CASE WHEN 100 * n_stop_words < 2 * n_words THEN 'stop words' END,
+    CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 'repeated lines' END,
+    CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 'repeated words' END,
+    CASE WHEN 100 * n_bullet_lines > 90 * n_lines THEN 'bullet lines' END,
+    CASE WHEN 100 * n_cut_lines > 30 * n_lines THEN 'cut lines' END], lambda x: x IS NOT NULL), ', ') failed FROM m)
+SELECT *, NOT base_failed AND failed = '' kept FROM r
+""".replace("__STOP_WORDS__", ", ".join(f"'{w}'" for w in STOP_WORDS))
