@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import decontaminate, line_dedup, quality_rules, repeats
+from tideline.llm import decontaminate, divergence, line_dedup, quality_rules, repeats
 from tideline.llm.common import let_workers_import, table
 from tideline.llm.html_text import extract
 from tideline.llm.langid import held_out, identify, train
 from tideline.llm.packing import pack
 from tideline.llm.sharding import place
 from tideline.llm.neighbours import search
-from tideline.llm.oracle import DECONTAMINATE, LINE_DEDUP, QUALITY_RULES
+from tideline.llm.oracle import DECONTAMINATE, DIVERGENCE, LINE_DEDUP, QUALITY_RULES
 from tideline.llm.simhash import groups, hexadecimal
 from tideline.llm.token_counts import token_counts
 from tideline.llm.whitening import whiten
@@ -83,6 +83,10 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("failed", F.array_join("failed", ", "))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=3, ranks=200)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -98,10 +102,16 @@ QUERIES: dict[str, Query] = {
         op10_token_counts,
         op11_whitening,
         op12_quality_rules,
+        op13_divergence,
     )
 }
 
-SQL: dict[str, str] = {"op5_line_dedup": LINE_DEDUP, "op9_decontaminate": DECONTAMINATE, "op12_quality_rules": QUALITY_RULES}
+SQL: dict[str, str] = {
+    "op5_line_dedup": LINE_DEDUP,
+    "op9_decontaminate": DECONTAMINATE,
+    "op12_quality_rules": QUALITY_RULES,
+    "op13_divergence": DIVERGENCE,
+}
 
 
 def queries() -> dict[str, Query]:

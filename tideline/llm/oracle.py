@@ -75,3 +75,27 @@ r AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words base_failed,
     CASE WHEN 100 * n_cut_lines > 30 * n_lines THEN 'cut lines' END], lambda x: x IS NOT NULL), ', ') failed FROM m)
 SELECT *, NOT base_failed AND failed = '' kept FROM r
 """.replace("__STOP_WORDS__", ", ".join(f"'{w}'" for w in STOP_WORDS))
+
+DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () k, coalesce(lang, '') lang, coalesce(source, '') source, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') ts FROM documents),
+e AS (SELECT k, lang, source, unnest(ts) term FROM d),
+c AS (SELECT lang, source, term, count(*) n FROM e GROUP BY ALL),
+v AS (SELECT lang, term FROM e GROUP BY ALL HAVING count(DISTINCT k) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+x AS (SELECT g.lang, g.source, v.term, coalesce(n, 0)::HUGEINT n FROM g JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+gs AS (SELECT lang, source, sum(n) total, count(*) kept FROM x GROUP BY ALL),
+ls AS (SELECT lang, term, sum(n) n FROM x GROUP BY ALL),
+lt AS (SELECT lang, sum(n) total, count(*) kept FROM ls GROUP BY ALL),
+p AS (SELECT x.lang, x.source, term, n, 1 + (1000000000 * (n + 1))::HUGEINT // (total + kept)::HUGEINT p FROM x JOIN gs USING (lang, source)),
+q AS (SELECT lang, term, 1 + (1000000000 * (n + 1))::HUGEINT // (total + kept)::HUGEINT q FROM ls JOIN lt USING (lang)),
+pairs AS (SELECT a.lang, a.source, b.source item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) f
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (
+  SELECT a.lang, a.source, 'pair' part, b.source item, coalesce(f, 0) v
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY v DESC, encode(item)) rank FROM r)
+SELECT lang, source, part, item, v::BIGINT AS value, rank::INTEGER AS rank FROM k WHERE part = 'pair' OR rank <= 200
+"""
