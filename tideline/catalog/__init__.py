@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tideline.catalog.registry import QUERIES, SQL
 
-_GROUPS = ["scalars", "series", "summaries", "assessment", "learning"]
+_GROUPS = ["scalars", "series", "summaries", "assessment", "learning", "fitted"]
 
 
 def _load() -> None:

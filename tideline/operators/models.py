@@ -9,11 +9,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import MinMaxScaler, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, IsotonicRegression, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.operators.evaluation import alert_metrics
+from tideline.operators.isotonic import apply_isotonic, fit_isotonic
 from tideline.operators.quantiles import exact_quantiles
 from tideline.operators.ranking import hash_order
 from tideline.operators.series import Series
@@ -163,24 +164,24 @@ def calibrate_isotonic(
 
     Each fold's model is fitted on the other folds and its scores are calibrated on
     the fold itself; a row's calibrated probability is the mean over the folds.
-    Returns ``apply(rows, name)``.
+    The folds are the groups of one isotonic fit.  Returns ``apply(rows, name)``.
     """
-    fold = F.pmod(F.conv(F.substring(hash_order(ids, seed), 1, 8), 16, 10).cast("long"), F.lit(folds))
+    fold = F.pmod(F.conv(F.substring(hash_order(ids, seed), 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")
     parts = train.withColumn("__fold", fold)
-    fitted = []
+    models, held = [], None
     for k in range(folds):
-        model = fit(parts.where(F.col("__fold") != k))
-        held = score(model, parts.where(F.col("__fold") == k), prob="__p")
-        iso = IsotonicRegression(featuresCol="__p_1", labelCol=label, predictionCol="__iso").fit(
-            held.select(F.col("__p_1").cast("double"), F.col(label).cast("double").alias(label))
-        )
-        fitted.append((model, iso))
+        models.append(fit(parts.where(F.col("__fold") != k)))
+        own = score(models[k], parts.where(F.col("__fold") == k), prob="__p").select("__fold", "__p_1", F.col(label).cast("double").alias("__y"))
+        held = own if held is None else held.unionByName(own)
+    blocks = fit_isotonic(held, "__p_1", "__y", by=["__fold"])
 
     def apply(rows: DataFrame, name: str) -> DataFrame:
         out = rows
-        for k, (model, iso) in enumerate(fitted):
-            out = iso.transform(score(model, out, prob="__p")).withColumnRenamed("__iso", f"__iso_{k}").drop("__p_1")
-        mean = sum([F.col(f"__iso_{k}") for k in range(folds)], F.lit(0.0)) / folds
+        for k, model in enumerate(models):
+            scored = score(model, out, prob="__p").withColumn("__fold", F.lit(k))
+            out = apply_isotonic(scored, blocks, "__p_1", f"__iso_{k}", by=["__fold"]).drop("__p_1", "__fold")
+        found = F.array_compact(F.array(*[F.col(f"__iso_{k}") for k in range(folds)]))
+        mean = F.aggregate(found, F.lit(0.0), lambda a, b: a + b) / F.nullif(F.size(found), F.lit(0))
         return out.withColumn(name, mean).drop(*[f"__iso_{k}" for k in range(folds)])
 
     return apply
