@@ -1,17 +1,30 @@
-"""Queries over fitted step functions and forests taken apart into tables."""
+"""Queries over fitted step functions, forests taken apart into tables, smoothing and models per key."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from tideline.catalog.assessment import _HOLD, SUP
-from tideline.catalog.learning import _alert, _parts, learning_table
+from tideline.catalog.learning import _alert, _binary_report, _parts, learning_table
 from tideline.catalog.registry import query
-from tideline.catalog.tables import PREDICTIONS_SQL, predictions
+from tideline.catalog.tables import (
+    PANEL_SQL,
+    PREDICTIONS_SQL,
+    SPARSE_SQL,
+    WEEKLY_SERIES,
+    WEEKLY_SQL,
+    predictions,
+    sparse,
+    weekly,
+)
+from tideline.operators import evaluation as V
 from tideline.operators import models as M
 from tideline.operators import splits as L
 from tideline.operators import trees as T
 from tideline.operators.isotonic import apply_isotonic, fit_isotonic
+from tideline.operators.keyed_models import fit_linear_per_key, fit_logistic_per_key, logistic, score_per_key
+from tideline.operators.quantile_forest import fit_quantile_forest
+from tideline.operators.smoothing import fit_smoothing, smoothing_holdout
 from tideline.session import cut_lineage
 
 # ---- isotonic regression -----------------------------------------------------
@@ -130,3 +143,75 @@ def _interaction(spark, sf):
     train, test = _parts(d)
     model = M.fit_gbt_regressor(train, feats, "y_log", max_iter=40, depth=5)
     return T.interactions(model, test, feats, T.even_grid(train, feats, points=6), top=12)
+
+
+@query("ml_quantile_forest_bands")
+def _forest_bands(spark, sf):
+    d, feats = learning_table(spark, sf)
+    train, test = _parts(d)
+    ids = ["key", "week_start"]
+    bands = fit_quantile_forest(train, feats, "y_log", trees=100, depth=8, min_rows=20)(test, ids)
+    return V.interval_metrics(bands.join(test.select(*ids, "y_log"), ids), "y_log", "q10", "q50", "q90")
+
+
+# ---- smoothing ---------------------------------------------------------------
+
+_FACTORS = (0.0, 0.05, 0.2, 0.5, 1.0)
+
+
+@query(
+    "smoothing_profile",
+    """SELECT key, tag AS "at", factor, n, ROUND(q / p + mean, 3) AS start, ROUND(SQRT(GREATEST(r - q * q / p, 0) / n), 3) AS rmse,
+              ROUND(a * (q / p) + b + mean, 3) AS forecast
+       FROM walk JOIN (SELECT key, COUNT(*) AS n, AVG(v) AS mean FROM steps GROUP BY key) USING (key) WHERE i = n""",
+    (
+        PANEL_SQL,
+        WEEKLY_SQL,
+        "steps AS (SELECT key, ROW_NUMBER() OVER (PARTITION BY key ORDER BY week_start) AS i, top_max AS v, AVG(top_max) OVER (PARTITION BY key) AS m FROM weekly)",
+        """walk AS (
+         WITH RECURSIVE w AS (
+           SELECT key, CAST(0 AS BIGINT) AS i, tag, factor, CAST(1 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS p, CAST(0 AS DOUBLE) AS q, CAST(0 AS DOUBLE) AS r
+           FROM (SELECT DISTINCT key FROM steps), (SELECT UNNEST([0, 1, 2, 3, 4]) AS tag, UNNEST([0, 0.05, 0.2, 0.5, 1]::DOUBLE[]) AS factor)
+           UNION ALL
+           SELECT w.key, s.i, tag, factor, (1 - factor) * a, b + factor * (s.v - s.m - b), p + a * a, q + a * (s.v - s.m - b), r + (s.v - s.m - b) * (s.v - s.m - b)
+           FROM w JOIN steps s ON s.key = w.key AND s.i = w.i + 1)
+         SELECT * FROM w)""",
+    ),
+)
+def _profile(spark, sf):
+    found = fit_smoothing(weekly(spark, sf), WEEKLY_SERIES, "top_max", _FACTORS)
+    rmse = F.round(F.sqrt(F.col("error") / F.col("n")), 3).alias("rmse")
+    return found.select("key", "at", "factor", "n", F.round("start", 3).alias("start"), rmse, F.round("forecast", 3).alias("forecast"))
+
+
+@query("ml_smoothing_estimated")
+def _estimated(spark, sf):
+    """Hold-out errors of the fitted forecast and of the previous value per key."""
+    return smoothing_holdout(weekly(spark, sf), WEEKLY_SERIES, "top_max")
+
+
+# ---- one model per key -------------------------------------------------------
+
+
+@query(
+    "linear_model_per_key",
+    """SELECT cust, COUNT(*) AS n, ROUND(regr_intercept(v, x), 2) AS intercept, ROUND(regr_slope(v, x), 5) AS slope
+       FROM (SELECT cust, v, CAST(day - DATE '1995-01-01' AS DOUBLE) AS x FROM sparse) GROUP BY cust HAVING COUNT(DISTINCT x) > 1""",
+    (SPARSE_SQL,),
+)
+def _linear(spark, sf):
+    """A trend line per customer."""
+    d = sparse(spark, sf).withColumn("x", F.datediff("day", F.to_date(F.lit("1995-01-01"))).cast("double"))
+    models = fit_linear_per_key(d, "cust", ["x"], "v")
+    single = d.groupBy("cust").agg(F.count_distinct("x").alias("days")).where("days > 1").select("cust")
+    kept = models.join(single, "cust", "left_semi")
+    return kept.select("cust", "n", F.round("intercept", 2).alias("intercept"), F.round("x", 5).alias("slope"))
+
+
+@query("ml_logistic_per_key")
+def _logistic(spark, sf):
+    """Alert models of every key, fitted together, and their pooled test scores."""
+    d, feats = learning_table(spark, sf)
+    train, test = _parts(d)
+    models = fit_logistic_per_key(train, "key", feats, "alert", penalty=1.0)
+    return _binary_report(score_per_key(test, models, "key", feats, "p", logistic), "p")
