@@ -8,6 +8,7 @@ those few rows are ranked.  The sketch's error moves work, never the answer.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 from operator import add
@@ -123,26 +124,103 @@ def median_impute(df: DataFrame, values: Sequence[str], fit_on: Column | None =
         {v: F.when(F.abs(v).isin(float("inf")) | F.isnan(v), None).otherwise(F.col(v)) for v in values}
     )
     base = clean if fit_on is None else clean.where(fit_on)
-    medians = column_medians(base, values).first().asDict()
-    known = {v: medians[f"__med_{v}"] for v in values if medians[f"__med_{v}"] is not None}
+    known = {v: m for v, m in column_medians(base, values).items() if m is not None}
     return clean.withColumns({v: F.coalesce(F.col(v).cast("double"), F.lit(known.get(v, 0.0))) for v in values})
 
 
-def column_medians(df: DataFrame, values: Sequence[str]) -> DataFrame:
-    """One row with ``__med_<v>``; all columns are ranked in one pass as (column, value) rows."""
-    med = column_quantile_rows(df, values, [0.5], ["m"])
-    return med.agg(*[F.max(F.when(F.col("column_name") == v, F.col("m"))).alias(f"__med_{v}") for v in values])
+def column_medians(df: DataFrame, values: Sequence[str]) -> dict[str, float | None]:
+    """The exact median of each column, None without values."""
+    return {c: found[0] for c, found in wide_quantiles(df, values, [0.5]).items()}
 
 
-def column_quantile_rows(
-    df: DataFrame, values: Sequence[str], qs: Sequence[float], names: Sequence[str]
-) -> DataFrame:
-    """One row per column with its exact quantiles."""
-    long = df.select(
-        F.explode(
-            F.array(
-                *[F.struct(F.lit(v).alias("column_name"), F.col(v).cast("double").alias("v")) for v in values]
-            )
-        ).alias("x")
-    ).select("x.*")
-    return exact_quantiles(long, "v", qs, by=["column_name"], names=names)
+#: Values of a column that one aggregate may lay out in order; a wider gap between pivots is cut again.
+AT_ONCE = 20_000
+
+
+def wide_quantiles(
+    df: DataFrame, values: Sequence[str], qs: Sequence[float], accuracy: int = 10_000
+) -> dict[str, list[float | None]]:
+    """Exact linear-interpolated quantiles of many columns side by side; nulls and NaN do not count.
+
+    Every pass is one aggregate of one row: a sketch proposes pivots on both sides of each wanted rank, counters
+    of values below and up to each pivot say whether the rank is a pivot itself or between which two it
+    lies, and the few values between them are laid out. Rows are neither copied per column nor shuffled; only the
+    pivots and those few values come to the driver. A gap that still holds more than ``AT_ONCE`` values gets pivots of its own.
+    """
+    cols = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in values}
+    slack = 3.0 / accuracy
+    near = lambda f: [min(max(f + d, 0.0), 1.0) for d in (-slack, slack)]
+    probes = sorted({x for q in qs for x in near(q)})
+    first = df.agg(
+        *[F.count(v).alias(f"n{i}") for i, v in enumerate(cols.values())],
+        *[F.percentile_approx(v, probes, accuracy).alias(f"p{i}") for i, v in enumerate(cols.values())],
+    ).first()
+    sizes = {c: first[f"n{i}"] for i, c in enumerate(cols)}
+    pivots = {c: sorted(set(first[f"p{i}"] or [])) for i, c in enumerate(cols)}
+    # What is known of a column: value -> (values below it, values up to it).
+    known: dict[str, dict[float, tuple[int, int]]] = {c: {} for c in cols}
+    at: dict[str, dict[int, float]] = {c: {} for c in cols}
+    ranks = {c: {r for q in qs for r in _ranks(n, q)} for c, n in sizes.items()}
+
+    while True:
+        asked = [(c, p) for c in cols for p in pivots[c] if p not in known[c]]
+        if asked:
+            counters = [x for c, p in asked for x in (F.count_if(cols[c] < p), F.count_if(cols[c] <= p))]
+            row = df.agg(*[x.alias(f"c{i}") for i, x in enumerate(counters)]).first()
+            for i, (c, p) in enumerate(asked):
+                known[c][p] = (row[2 * i], row[2 * i + 1])
+        gaps = {}
+        for c in cols:
+            for r in ranks[c] - at[c].keys():
+                below = [p for p, (_, upto) in known[c].items() if upto <= r]
+                above = [p for p, (less, _) in known[c].items() if less > r]
+                inside = [p for p, (less, upto) in known[c].items() if less <= r < upto]
+                if inside:
+                    at[c][r] = inside[0]
+                    continue
+                lo, hi = max(below, default=None), min(above, default=None)
+                start = known[c][lo][1] if lo is not None else 0
+                end = known[c][hi][0] if hi is not None else sizes[c]
+                gaps.setdefault((c, lo, hi, start, end), []).append(r)
+        if not gaps:
+            return {c: [_between(at[c], sizes[c], q) for q in qs] for c in cols}
+
+        aggs = []
+        for (c, lo, hi, start, end), wanted in gaps.items():
+            v = cols[c]
+            held = F.lit(True) if lo is None else v > lo
+            held = held if hi is None else held & (v < hi)
+            own = F.when(held, v)
+            if end - start <= AT_ONCE:
+                aggs.append(F.array_sort(F.collect_list(own)))
+            else:
+                shares = sorted({x for r in wanted for x in near((r - start) / (end - start))})
+                aggs.append(F.percentile_approx(own, shares, accuracy))
+        row = df.agg(*[a.alias(f"g{i}") for i, a in enumerate(aggs)]).first()
+        pivots = {c: [] for c in cols}
+        for i, ((c, lo, hi, start, end), wanted) in enumerate(gaps.items()):
+            if end - start <= AT_ONCE:
+                at[c].update({r: row[i][r - start] for r in wanted})
+            else:
+                pivots[c] += row[i]
+
+
+def _ranks(n: int, q: float) -> set[int]:
+    low = math.floor((n - 1) * q)
+    return {low, min(low + 1, n - 1)} if n else set()
+
+
+def _between(at: dict[int, float], n: int, q: float) -> float | None:
+    if not n:
+        return None
+    place = (n - 1) * q
+    low = math.floor(place)
+    a, b = at[low], at[min(low + 1, n - 1)]
+    return a + (b - a) * (place - low)
+
+
+def column_quantile_rows(df: DataFrame, values: Sequence[str], qs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """One row per column that has values, with its exact quantiles."""
+    found = wide_quantiles(df, values, qs)
+    rows = [(c, *found[c]) for c in values if found[c] and found[c][0] is not None]
+    return df.sparkSession.createDataFrame(rows, "column_name string, " + ", ".join(f"{n} double" for n in names))
