@@ -1,8 +1,10 @@
+import math
 import random
+import time
 
 import pytest
 
-from tideline.llm.html_text import extract, main_text
+from tideline.llm.html_text import Page, densities, extract, main_text
 
 TEXT = "A long enough paragraph of the article, with several words in it, and a few more. "
 PARTS = "".join(f"<p>{TEXT * 3}{i}</p>" for i in range(4))
@@ -72,3 +74,62 @@ def test_table(spark):
     n = len("\n\n".join(" ".join(w.split()) for w in WANT))
     assert got == [("1", n), ("1", n), ("2", 0), ("None", 0)]
     assert extract(pages.limit(0)).count() == 0
+
+
+def test_a_slash_does_not_end_a_script():
+    assert main_text(f'<script src="a.js"/>var leaked=1;</script><article>{PARTS}</article>').count("\n\n") == 3
+    assert "leaked" not in main_text(f"<style/>p{{leaked:1}}</style><article>{PARTS}<svg/><p>after</p></article>")
+    assert main_text(f"<article>{PARTS}<svg/><p>after</p></article>").endswith("after")
+
+
+@pytest.mark.parametrize(
+    "part",
+    ['<p class="alert-level">Named text.</p>', '<div class="related-work"><p>Named text.</p></div>', "<label>Named text.</label>",
+     "<p><math><mi>Named</mi></math> text.</p>", '<h2 class="notice">Named text.</h2>', '<div class="search-results-study">Named text.</div>'],
+)
+def test_names_do_not_take_out_paragraphs(part):
+    assert "Named text." in main_text(f"<body><article>{PARTS}{part}{PARTS}</article></body>").split("\n\n")
+
+
+def test_stray_end_tags_take_linear_time():
+    page = "<article>" + "<div>" * 30_000 + "</span>" * 60_000 + PARTS + "</article>"
+    assert len(page) > 500_000
+    start = time.process_time()
+    assert main_text(page).count("\n\n") == 3
+    assert time.process_time() - start < 2
+
+
+def plain_densities(page):
+    """Densities from the formula, each element's numbers counted anew over its whole subtree."""
+    n = len(page.tag)
+    under = lambda i, j: i == j or (j > 0 and under(i, page.parent[j]))
+    linked = lambda j: j > 0 and (page.tag[j] == "a" or linked(page.parent[j]))
+
+    def numbers(i):
+        inside = [j for j in range(n) if under(i, j) and not page.aside[j]]
+        texts = [(j, len(t.strip())) for j, t, _ in page.runs if j in inside]
+        return sum(s for _, s in texts), len(inside) - 1, sum(s for j, s in texts if linked(j)), sum(page.tag[j] == "a" for j in inside if j != i)
+
+    body = page.tag.index("body")
+    c, _, lc, _ = numbers(body)
+    share = lc / max(c, 1)
+    own = []
+    for i in range(n):
+        c, t, lc, lt = numbers(i)
+        t, lt = max(t, 1), max(lt, 1)
+        if not c or page.aside[i]:
+            own.append(0.0)
+            continue
+        base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+        ratio = max(c / max(lc, 1) * t / lt, 1.0)
+        own.append(c / t * (math.log(ratio) / math.log(base) if base > 1.0001 else math.log(ratio + 1)))
+    return own, [sum(own[j] for j in range(1, n) if page.parent[j] == i) for i in range(n)]
+
+
+def test_densities_equal_a_plain_count():
+    rng = random.Random(3)
+    for _ in range(25):
+        pieces = ["<div>", "</div>", "<p>", "</p>", "<a href=x>", "</a>", "some words ", "more ", "<b>", "</b>", "<nav>", "</nav>"]
+        page = Page("<html><body>" + "".join(rng.choice(pieces) for _ in range(60)) + "</body></html>")
+        for got, want in zip(densities(page), plain_densities(page)):
+            assert got == pytest.approx(want)

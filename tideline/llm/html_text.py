@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 
 #: Fixed values of the HTML language: elements without content, with raw text, and that start a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas".split())
+RAW = frozenset("script style noscript template textarea title iframe svg object canvas".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary "
@@ -42,7 +43,7 @@ CLOSES = {
     "option": (frozenset(["option"]), frozenset(["select"])),
 }
 #: Elements and words in class, id and role that are never the article.
-ASIDE = frozenset("nav aside footer form button select fieldset menu dialog head search label".split())
+ASIDE = frozenset("nav aside footer form button select fieldset menu dialog head search".split())
 ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent "
     "gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login paywall menu "
@@ -50,9 +51,17 @@ ASIDE_WORDS = frozenset(
     "footer masthead share sharing social comment comments commentlist disqus respond reply replies discussion "
     "toolbar pagination pager skip contentinfo complementary".split()
 )
-#: Whole class or id names of page headers, and words that turn a layout name such as "has-sidebar" around.
+#: Parts that a name may have besides: where and in what shape. A name with any other part, such as "related-work", says nothing.
+LAYOUT_WORDS = frozenset(
+    "left right top bottom center main primary secondary inner outer site page global mobile desktop sticky fixed floating js u l o c "
+    "list box container wrapper wrap block section area bar panel slot item items holder unit group column col row content body "
+    "link links button buttons icons icon text title form field thread count post posts article articles story stories news "
+    "small large big x xs sm md lg xl".split()
+)
+#: Elements that hold running text: their names do not take them out.
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr blockquote pre figcaption caption span a b i em strong code".split())
+#: Whole class or id names of page headers.
 HEADER_NAMES = frozenset("header site-header page-header global-header top-bar topbar site-title logo".split())
-NOT_ASIDE = frozenset("has no with without".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)"
@@ -76,11 +85,18 @@ class Page:
         self.tag, self.parent, self.aside = ["html"], [-1], [False]
         #: (element, text, starts a block) in page order
         self.runs: list[tuple[int, str, bool]] = []
+        #: Open elements by tag, so that an end tag without a start costs nothing.
+        self.open: Counter[str] = Counter()
         self._read(html)
 
+    def _close(self, stack: list[int], k: int) -> None:
+        """End the elements of the stack from place k on."""
+        for e in stack[k:]:
+            self.open[self.tag[e]] -= 1
+        del stack[k:]
+
     def _read(self, html: str) -> None:
         stack, pos, fresh, n = [0], 0, True, len(html)
-        open_p = 0
         while pos < n:
             m = _TOKEN.search(html, pos)
             start = m.start() if m else n
@@ -99,60 +115,56 @@ class Page:
             elif name in ("br", "td", "th"):
                 self.runs.append((stack[-1], " ", fresh))
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == name:
-                        open_p -= sum(self.tag[e] == "p" for e in stack[k:])
-                        del stack[k:]
-                        break
+                if self.open[name]:
+                    self._close(stack, next(k for k in range(len(stack) - 1, 0, -1) if self.tag[stack[k]] == name))
                 continue
             if name in ("html", "body") and name in (self.tag[e] for e in stack[:3]):
                 continue
-            if name in BLOCK and open_p:
-                k = max(i for i, e in enumerate(stack) if self.tag[e] == "p")
-                if not any(self.tag[e] in ("table", "td", "th", "button") for e in stack[k:]):
-                    open_p -= 1
-                    del stack[k:]
+            if name in BLOCK and self.open["p"]:
+                k = next(k for k in range(len(stack) - 1, -1, -1) if self.tag[stack[k]] in ("p", "table", "td", "th", "button"))
+                if self.tag[stack[k]] == "p":
+                    self._close(stack, k)
             if name in CLOSES:
                 ends, stops = CLOSES[name]
-                for k in range(len(stack) - 1, 0, -1):
-                    inner = self.tag[stack[k]]
-                    if inner in stops:
+                while any(self.open[t] for t in ends):
+                    k = next(k for k in range(len(stack) - 1, 0, -1) if self.tag[stack[k]] in ends or self.tag[stack[k]] in stops)
+                    if self.tag[stack[k]] in stops:
+                        break
+                    self._close(stack, k)
+                    if name != "tr":
                         break
-                    if inner in ends:
-                        open_p -= sum(self.tag[e] == "p" for e in stack[k:])
-                        del stack[k:]
-                        if name != "tr":
-                            break
+            closed = attributes.endswith("/")
             if name in RAW:
-                pos = _RAW_END[name].search(html, pos).end() if not attributes.endswith("/") else pos
+                # HTML knows no empty form of these; only foreign elements have one.
+                pos = pos if closed and name == "svg" else _RAW_END[name].search(html, pos).end()
                 continue
             if name in VOID:
                 continue
             self.tag.append(name)
             self.parent.append(stack[-1])
             self.aside.append(self._is_aside(name, attributes, stack))
-            if not attributes.endswith("/") or name in BLOCK:
+            if not closed or name in BLOCK:
                 stack.append(len(self.tag) - 1)
-                open_p += name == "p"
+                self.open[name] += 1
 
     def _is_aside(self, name: str, attributes: str, stack: list[int]) -> bool:
         if self.aside[stack[-1]] or name in ASIDE:
             return True
+        in_article = self.open["article"] > 0 or self.open["main"] > 0
         if name == "header":
-            return not any(self.tag[e] in ("article", "main") for e in stack)
+            return not in_article
         if not attributes or name in ("html", "body", "article", "main"):
             return False
         if _HIDDEN.search(attributes):
             return True
-        if not self.by_name:
+        if not self.by_name or name in TEXT_TAGS:
             return False
-        in_article = any(self.tag[e] in ("article", "main") for e in stack)
         for found in _NAMES.findall(attributes):
             for whole in "".join(found).lower().split():
-                parts = _WORDS.findall(whole)
+                parts = set(_WORDS.findall(whole))
                 if whole in HEADER_NAMES and not in_article:
                     return True
-                if not NOT_ASIDE.intersection(parts) and ASIDE_WORDS.intersection(parts):
+                if parts & ASIDE_WORDS and parts <= ASIDE_WORDS | LAYOUT_WORDS:
                     return True
         return False
 
