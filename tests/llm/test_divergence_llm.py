@@ -80,10 +80,27 @@ def test_equals_brute_force(spark, docs, monkeypatch, broadcast):
     assert result(D.audit(frame(spark, docs).withColumns(clash))) == plain(docs)
 
 
-@pytest.mark.parametrize("digests", [1, 3, 20])
-def test_shared_digests_change_nothing(spark, docs, monkeypatch, digests):
-    monkeypatch.setattr(D, "digest", lambda t: F.pmod(F.xxhash64(t), F.lit(digests)))
-    assert result(D.audit(frame(spark, docs))) == plain(docs)
+@pytest.mark.parametrize("bits", [0, 2, 5])
+def test_shared_digests_change_nothing(spark, docs, bits):
+    assert result(D.audit(frame(spark, docs), bits=bits)) == plain(docs)
+
+
+def test_portions_change_nothing(spark, docs, monkeypatch):
+    batches = D._texts(frame(spark, docs).na.fill("")).toArrow().to_batches(max_chunksize=9)
+
+    def whole():
+        sums = Counter()
+        portions = list(D.tally(iter(batches)))
+        for portion in portions:
+            for group, terms_ in portion.items():
+                for t, n in terms_.items():
+                    sums[group, t] += n
+        return sums, len(portions)
+
+    want, _ = whole()
+    monkeypatch.setattr(D, "AT_ONCE", 12)
+    got, portions = whole()
+    assert got == want and portions > 5
 
 
 def test_blocks_and_ranks(spark, docs, monkeypatch):
@@ -104,9 +121,9 @@ def test_empty(spark, nothing):
 
 def test_shuffles_of_counts_hold_no_strings(spark, docs):
     """What the counts of a text are shuffled by is a digest, never a term."""
-    frame_ = frame(spark, docs).na.fill("")
-    each = frame_.select("lang", "source", F.inline(D.counted(F.transform(D.terms(F.col("text")), D.digest))).alias("digest", "n"))
-    assert dict(each.dtypes) == {"lang": "string", "source": "string", "digest": "bigint", "n": "bigint"}
+    assert dict(D.counted(frame(spark, docs).na.fill(""), 64, False).dtypes) == {
+        "lang": "string", "source": "string", "digest": "bigint", "n": "bigint", "docs": "bigint"
+    }
 
 
 @pytest.mark.parametrize("sf", [SF])

@@ -1,7 +1,7 @@
 """How far the term shares of the sources of a language lie apart, with late strings.
 
-What is counted and shuffled is fixed in width: a term travels as a 64-bit digest. A text gives one row per distinct
-digest, with its count, and these are summed per (language, source, digest) before they are shuffled. Digests in
+What is counted and shuffled is fixed in width: a term travels as a 64-bit digest. A task counts the terms of its texts per
+language and source, ``AT_ONCE`` distinct ones at a time, and only digests with their counts are shuffled. Digests in
 enough documents are kept. Only for these is a string looked for: the distinct (digest, term) pairs of the
 texts give each digest its least and its greatest string. Where the two differ, several terms share the digest;
 their texts are counted again by the terms themselves, so a collision costs time and changes nothing. The other
@@ -22,46 +22,92 @@ gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.common import stash
-from tideline.llm.quality_rules import bound
 
-#: What separates terms: all of ASCII but its letters.
-NO_LETTER = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A term in UTF-8: all of ASCII but its letters separates, every other byte belongs to a term.
+TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 BILLION = 1_000_000_000
+#: Distinct terms that a task counts before it hands them on.
+AT_ONCE = 500_000
 #: Rows of digests (8 bytes each) that are sent to every executor; beyond, Spark joins by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Sources of one term that meet the others of the term in one task.
 BLOCK = 256
 
 
-def digest(term: Column) -> Column:
-    return F.xxhash64(term)
+def digests(terms: Iterable[bytes], bits: int) -> np.ndarray:
+    """XXH64 of each term as a signed long, or its first bits."""
+    whole = np.fromiter(map(xxhash.xxh64_intdigest, terms), dtype=np.uint64)
+    return (whole >> np.uint64(64 - bits) if bits else whole * np.uint64(0)).astype(np.int64)
+
+
+#: A term's tally is one number: its documents in the high bits, its occurrences in these low ones.
+_LOW = 40
+
+
+def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[tuple[str, str], dict[bytes, int]]]:
+    """Tallies per (lang, source) and term of rows (text in UTF-8, lang, source), a portion at a time."""
+    found: dict[tuple[str, str], dict[bytes, int]] = {}
+    held, one = 0, 1 << _LOW
+    for batch in batches:
+        for text, *group in zip(*[batch.column(c).to_pylist() for c in ("text", "lang", "source")]):
+            mine = found.setdefault(tuple(group), {})
+            held -= len(mine)
+            for term, c in Counter(TERM.findall(text.lower())).items():  # bytes: A to Z only
+                mine[term] = mine.get(term, 0) + c + one
+            held += len(mine)
+            if held > AT_ONCE:
+                yield found
+                found, held = {}, 0
+    yield found
 
 
-def terms(text: Column) -> Column:
-    """The terms of a text in order, with A to Z in lower case."""
-    ascii_only = F.length(text) == F.octet_length(text)
-    lowered = F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    return F.filter(F.split(lowered, NO_LETTER, -1), lambda t: t != "")
+def counted(docs: DataFrame, bits: int, by_string: bool) -> DataFrame:
+    """lang, source, digest, n, docs; with the term itself as ``twin`` if asked for."""
+    names = ["lang", "source", "digest", *(["twin"] if by_string else []), "n", "docs"]
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for portion in tally(batches):
+            for (lang, source), mine in portion.items():
+                both = np.fromiter(mine.values(), dtype=np.int64)
+                group = [pa.array([v], pa.string()).take(pa.array(np.zeros(len(both), dtype=np.int32))) for v in (lang, source)]
+                text = [pa.array([t.decode() for t in mine], pa.string())] if by_string else []
+                columns = [*group, pa.array(digests(mine, bits)), *text, pa.array(both & ((1 << _LOW) - 1)), pa.array(both >> _LOW)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-def counted(ids: Column) -> Column:
-    """(id, n) for each distinct id of an array, by sorting it."""
+    schema = f"lang string, source string, digest long, {'twin string, ' if by_string else ''}n long, docs long"
+    return _texts(docs).mapInArrow(rows, schema).groupBy(*names[:-2]).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
-    def runs(ordered: Column) -> Column:
-        def starts(at: Column) -> Column:
-            end = lambda k: F.coalesce(F.get(at, k + 1), F.size(ordered))
-            return F.transform(at, lambda i, k: F.struct(F.get(ordered, i).alias("id"), (end(k) - i).cast("long").alias("n")))
 
-        fresh = lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1))
-        places = F.when(F.size(ordered) > 0, F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), fresh))
-        return bound(places, starts)
+def strings(docs: DataFrame, bits: int) -> DataFrame:
+    """digest and item of the terms of the texts, each once for many texts."""
 
-    return bound(F.sort_array(ids), runs)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            new: set[bytes] = set()
+            for text in batch.column("text").to_pylist():
+                new.update(TERM.findall(text.lower()))
+            new -= seen
+            seen = new if len(seen) + len(new) > AT_ONCE else seen | new
+            columns = [pa.array(digests(new, bits)), pa.array([t.decode() for t in new], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["digest", "item"])
+
+    return _texts(docs).select("text").mapInArrow(rows, "digest long, item string")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.encode("text", "UTF-8").alias("text"), "lang", "source")
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -82,37 +128,28 @@ def few(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= (BROADCAST_ROWS if most is None else most) else kept
 
 
-def term_counts(docs: DataFrame, least_docs: int) -> tuple[DataFrame, DataFrame]:
+def term_counts(docs: DataFrame, least_docs: int, bits: int) -> tuple[DataFrame, DataFrame]:
     """Counts (lang, source, digest, twin, n) and names (digest, twin, item) of the terms kept in their language.
 
     ``twin`` is null, or the term itself where several terms have one digest.
     """
-    each = docs.select("lang", "source", F.inline(counted(F.transform(terms(F.col("text")), digest))).alias("digest", "n"))
-    by_group = stash(
-        each.groupBy("lang", "source", "digest").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs")), "term-counts"
-    )
+    by_group = stash(counted(docs, bits, by_string=False), "term-counts")
     often = by_group.groupBy("lang", "digest").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
     often = stash(often.select("lang", "digest"), "kept-digests")
 
-    strings = docs.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("item")).select(digest(F.col("item")).alias("digest"), "item")
     wanted = few(often.select("digest").distinct(), "wanted-digests")
-    pairs = strings.join(wanted, "digest", "left_semi").distinct()
+    pairs = strings(docs, bits).join(wanted, "digest", "left_semi").distinct()
     ends = stash(pairs.groupBy("digest").agg(F.min("item").alias("item"), F.max("item").alias("last")), "strings")
     shared = ends.where(F.col("item") != F.col("last"))
     alone = ends.where(F.col("item") == F.col("last"))
-    same = ["lang", "digest"]
-    counts = by_group.join(often, same).select("lang", "source", "digest", F.lit(None).cast("string").alias("twin"), "n")
+    counts = by_group.join(often, ["lang", "digest"]).select("lang", "source", "digest", F.lit(None).cast("string").alias("twin"), "n")
     names = alone.select("digest", F.lit(None).cast("string").alias("twin"), "item")
     if shared.isEmpty():
         return counts, names
 
     # Terms whose digest is not theirs alone are counted by themselves.
     clash = few(shared.select("digest"), "shared-digests")
-    own = docs.select("lang", "source", F.inline(counted(terms(F.col("text")))).alias("twin", "n"))
-    own = own.withColumn("digest", digest(F.col("twin"))).join(clash, "digest", "left_semi")
-    split = stash(
-        own.groupBy("lang", "source", "digest", "twin").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs")), "split-counts"
-    )
+    split = stash(counted(docs, bits, by_string=True).join(clash, "digest", "left_semi"), "split-counts")
     enough = split.groupBy("lang", "digest", "twin").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
     again = split.join(enough.select("lang", "digest", "twin"), ["lang", "digest", "twin"])
     counts = counts.join(clash, "digest", "left_anti").select("lang", "source", "digest", "twin", "n")
@@ -188,11 +225,11 @@ def term_part(counts: DataFrame, names: DataFrame, ranks: int) -> DataFrame:
 
 
 def audit(
-    docs: DataFrame, least_docs: int = 3, ranks: int = 200, text: str = "text", lang: str = "lang", source: str = "source"
+    docs: DataFrame, least_docs: int = 3, ranks: int = 200, text: str = "text", lang: str = "lang", source: str = "source", bits: int = 64
 ) -> DataFrame:
-    """lang, source, part (pair, term), item, value, rank."""
+    """lang, source, part (pair, term), item, value, rank. ``bits`` is the width of a digest, for tests."""
     docs = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((text, "text"), (lang, "lang"), (source, "source"))])
-    counts, names = term_counts(docs, least_docs)
+    counts, names = term_counts(docs, least_docs, bits)
     counts = stash(counts, "kept-counts")
     names = stash(names, "names")
     terms_of = counts.groupBy("lang", "digest", "twin").agg(F.sum("n").alias("whole_n"))
