@@ -110,3 +110,39 @@ def test_two_stages_and_importance(parts):
     assert I.pair_interaction(model, test, ["a", "b"], ["id"], err * err).count() == 1
     curve = [r.mean_prediction for r in I.partial_dependence(model, train, ["a"], points=5).orderBy("point").collect()]
     assert curve == sorted(curve) and math.isclose(curve[-1] - curve[0], 2.7, abs_tol=0.4)
+
+
+def test_fits_side_by_side_report_failures(rows):
+    def fit(d, depth):
+        if depth == 3:
+            raise ValueError("no such depth")
+        return M.fit_forest(d, ["a", "b"], "stage", trees=5, depth=depth)
+
+    def predict(model, d):
+        return M.score(model, d, pred="p").withColumns({"pred": F.col("p").cast("int"), "stage": F.col("stage").cast("int")})
+
+    s = Series(("key",), "day", ("id",))
+    best, results = M.grid_search_time(rows, s, "stage", fit, {"depth": [1, 3, 5]}, predict)
+    assert best == {"depth": 5} and [r[1] is None for r in results] == [False, True, False]
+    _, alone = M.grid_search_time(rows, s, "stage", fit, {"depth": [1, 5]}, predict, at_once=1)
+    assert [r[1] for r in alone] == [results[0][1], results[2][1]]
+    with pytest.raises(RuntimeError, match="no such depth"):
+        M.grid_search_time(rows, s, "stage", fit, {"depth": [3]}, predict)
+    done = M.side_by_side([("good", lambda: 1), ("bad", lambda: 1 / 0)])
+    assert done["good"] == (1, None) and done["bad"][0] is None and "ZeroDivisionError" in done["bad"][1]
+
+
+def test_leads_and_lengths_side_by_side(rows):
+    daily = rows.where("id < 300").withColumn("stage", F.col("stage").cast("int"))
+    split = lambda d: d.withColumn("split", F.when(F.dayofmonth("day") < 20, "train").otherwise("test"))
+    got = M.compare_leads(daily, Series(("key",), "day", daily=True), "stage", ["a", "b"], split, leads=(1, 3), trees=5, depth=3)
+    again = M.compare_leads(daily, Series(("key",), "day", daily=True), "stage", ["a", "b"], split, leads=(1, 3), trees=5, depth=3, at_once=1)
+    assert sorted(map(str, got.collect())) == sorted(map(str, again.collect())) and {r.lead for r in got.collect()} == {1, 3}
+
+    def evaluate(d, n):
+        if n == 4:
+            raise ValueError("no rows")
+        return d.agg(F.count(F.lit(1)).alias("n"))
+
+    with pytest.warns(UserWarning, match="lookback 4"):
+        assert {r.lookback for r in M.ablate_lookback(lambda n: rows, evaluate).collect()} == {3, 5}

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -10,7 +13,8 @@ from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClas
 from pyspark.ml.feature import MinMaxScaler, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.operators.evaluation import alert_metrics
@@ -21,6 +25,7 @@ from tideline.operators.series import Series
 from tideline.operators.splits import class_weights, expanding_folds
 from tideline.operators.thresholds import apply_thresholds, pair_cost_grid
 from tideline.operators.windows import lead_label
+from tideline.session import cut_lineage
 
 VECTOR = "features"
 
@@ -187,6 +192,30 @@ def calibrate_isotonic(
     return apply
 
 
+def side_by_side(tasks: Sequence[tuple[str, Callable[[], object]]], at_once: int = 4) -> dict[str, tuple[object, str | None]]:
+    """Run independent fits as concurrent jobs; name -> (result, None) or (None, what went wrong).
+
+    Spark runs the jobs of several threads at once: while one fit waits for its last tasks, others use the
+    free cores. Each thread has a scheduler pool of its own, so under fair scheduling no fit starves. A fit that
+    fails is reported and takes no other with it.
+    """
+    spark = SparkSession.active()
+    context = spark.sparkContext
+
+    def run(name: str, task: Callable[[], object]) -> tuple[object, str | None]:
+        context.setLocalProperty("spark.scheduler.pool", f"fit-{name}")
+        try:
+            return task(), None
+        except Exception as e:  # reported to the caller by name
+            return None, f"{type(e).__name__}: {str(e)[:500]}"
+        finally:
+            context.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(max_workers=max(1, min(at_once, len(tasks) or 1))) as pool:
+        waiting = {name: pool.submit(inheritable_thread_target(spark)(run), name, task) for name, task in tasks}
+        return {name: done.result() for name, done in waiting.items()}
+
+
 def grid_search_time(
     df: DataFrame,
     s: Series,
@@ -195,39 +224,59 @@ def grid_search_time(
     grid: dict[str, Sequence],
     predict: Callable[[PipelineModel, DataFrame], DataFrame],
     folds: int = 3,
-) -> tuple[dict, list[tuple[dict, float]]]:
+    at_once: int = 4,
+) -> tuple[dict, list[tuple[dict, float | None]]]:
     """Best parameters by mean macro-F1 over expanding time folds.
 
-    ``predict`` returns rows with ``label`` and an integer ``pred``.  Only one metric
-    row per (parameters, fold) reaches the driver.
+    ``predict`` returns rows with ``label`` and an integer ``pred``.  The folds are stored
+    once and all (parameters, fold) pairs are fitted side by side; only one metric row each
+    reaches the driver.  Parameters with a failing fit score None; if all fail, the first error is raised.
     """
-    parts = expanding_folds(df, s, folds).persist()
+    parts = cut_lineage(expanding_folds(df, s, folds))
+    tried = [dict(zip(grid, values)) for values in product(*grid.values())]
+
+    def one(params: dict, k: int) -> float:
+        model = fit(parts.where(F.col("fold") < k), **params)
+        row = alert_metrics(predict(model, parts.where(F.col("fold") == k)), label, "pred").select("macro_f1").first()
+        return row[0] if row else 0.0
+
+    tasks = [(f"{i}-{k}", partial(one, p, k)) for i, p in enumerate(tried) for k in range(1, folds + 1)]
+    done = side_by_side(tasks, at_once)
     results = []
-    try:
-        for values in product(*grid.values()):
-            params = dict(zip(grid, values))
-            scores = []
-            for k in range(1, folds + 1):
-                model = fit(parts.where(F.col("fold") < k), **params)
-                scored = predict(model, parts.where(F.col("fold") == k))
-                row = alert_metrics(scored, label, "pred").select("macro_f1").first()
-                scores.append(row[0] if row else 0.0)
-            results.append((params, sum(scores) / folds))
-    finally:
-        parts.unpersist()
-    best = max(results, key=lambda r: r[1])[0]
+    for i, params in enumerate(tried):
+        scores = [done[f"{i}-{k}"][0] for k in range(1, folds + 1)]
+        results.append((params, None if None in scores else sum(scores) / folds))
+    if all(score is None for _, score in results):
+        raise RuntimeError(next(error for _, error in done.values() if error))
+    best = max((r for r in results if r[1] is not None), key=lambda r: r[1])[0]
     return best, results
 
 
+def _union(done: dict[str, tuple[DataFrame, str | None]]) -> DataFrame:
+    failed = {name: error for name, (_, error) in done.items() if error}
+    if len(failed) == len(done):
+        raise RuntimeError(str(failed))
+    out = None
+    for name, (part, error) in done.items():
+        if error:
+            warnings.warn(f"{name}: {error}", stacklevel=3)
+        else:
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 def ablate_lookback(
-    build: Callable[[int], DataFrame], evaluate: Callable[[DataFrame, int], DataFrame], lengths: Sequence[int] = (3, 4, 5)
+    build: Callable[[int], DataFrame],
+    evaluate: Callable[[DataFrame, int], DataFrame],
+    lengths: Sequence[int] = (3, 4, 5),
+    at_once: int = 3,
 ) -> DataFrame:
-    """Metrics of the same model on tables with different look-back lengths."""
-    rows = [evaluate(build(n), n).withColumn("lookback", F.lit(n)) for n in lengths]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    """Metrics of the same model on tables with different look-back lengths, fitted side by side.
+
+    A length that fails is left out with a warning; if all fail, that is an error.
+    """
+    one = lambda n: cut_lineage(evaluate(build(n), n).withColumn("lookback", F.lit(n)))
+    return _union(side_by_side([(f"lookback {n}", partial(one, n)) for n in lengths], at_once))
 
 
 def compare_leads(
@@ -240,15 +289,16 @@ def compare_leads(
     t_top: float = 0.12,
     t_caution: float = 0.30,
     boost: dict[int, float] | None = None,
-    trees: int = 40,
-    depth: int = 6,
+    trees: int = 250,
+    depth: int = 14,
+    at_once: int = 4,
 ) -> DataFrame:
-    """Test metrics per lead time, on rows complete in every feature.
+    """Test metrics per lead time, on rows complete in every feature; the leads are fitted side by side.
 
-    ``split`` adds a ``split`` column with ``train`` and ``test``.
+    ``split`` adds a ``split`` column with ``train`` and ``test``.  A lead that fails is left out with a warning.
     """
-    rows = []
-    for n in leads:
+
+    def one(n: int) -> DataFrame:
         labelled = lead_label(df, s, stage, n, "__y").where(F.col("__y").isNotNull())
         ready = split(labelled).na.drop(subset=list(features))
         ready = ready.withColumn("__y", F.least(F.col("__y"), F.lit(2)).cast("double"))
@@ -259,11 +309,9 @@ def compare_leads(
             "pred",
             apply_thresholds(F.coalesce("p_1", F.lit(0.0)), F.coalesce("p_2", F.lit(0.0)), t_top, t_caution),
         ).withColumn("truth", F.col("__y").cast("int"))
-        rows.append(alert_metrics(scored, "truth", "pred").withColumn("lead", F.lit(n)))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+        return cut_lineage(alert_metrics(scored, "truth", "pred").withColumn("lead", F.lit(n)))
+
+    return _union(side_by_side([(f"lead {n}", partial(one, n)) for n in leads], at_once))
 
 
 def fit_per_key(
