@@ -15,6 +15,7 @@ from tideline.catalog.tables import (
     WEEKLY_SQL,
     predictions,
     sparse,
+    supervised,
     weekly,
 )
 from tideline.operators import evaluation as V
@@ -26,6 +27,7 @@ from tideline.operators.keyed_models import fit_linear_per_key, fit_logistic_per
 from tideline.operators.quantile_forest import fit_quantile_forest
 from tideline.operators.smoothing import fit_smoothing, smoothing_holdout
 from tideline.session import cut_lineage
+from tideline.sources.schema import select_features
 
 # ---- isotonic regression -----------------------------------------------------
 
@@ -215,3 +217,20 @@ def _logistic(spark, sf):
     train, test = _parts(d)
     models = fit_logistic_per_key(train, "key", feats, "alert", penalty=1.0)
     return _binary_report(score_per_key(test, models, "key", feats, "p", logistic), "p")
+
+
+# ---- feature selection -------------------------------------------------------
+
+
+@query(
+    "selected_features",
+    """SELECT name AS feature, COUNT(v) AS n, MAX(v) AS largest
+       FROM chosen UNPIVOT INCLUDE NULLS (v FOR name IN (COLUMNS(*))) WHERE name NOT LIKE '%std%' GROUP BY name""",
+    (*SUP, "chosen AS (SELECT COLUMNS('^lw(4|2|1)_')::DOUBLE FROM supervised)"),
+)
+def _selected(spark, sf):
+    """The features that rules on names and types choose, with what they hold."""
+    d = supervised(spark, sf)
+    names = select_features(d, prefixes=("lw4_", "lw2_", "lw1_"), without=["std"])
+    cells = [F.struct(F.lit(c).alias("feature"), F.count(c).alias("n"), F.max(F.col(c).cast("double")).alias("largest")) for c in names]
+    return d.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))

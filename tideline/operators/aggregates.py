@@ -62,20 +62,35 @@ def lag_correlation(
 ) -> DataFrame:
     """Pearson r of x against y some positions later, per key and lag.
 
-    Missing values are left out of each side before positions are counted.  Each
-    x is copied once per lag and meets y by position, an equi-join.
+    Missing values are left out of each side before positions are counted.  The two sides meet once, by
+    position; all lags are then read from one sweep, in which a block of positions sees as many rows
+    of its neighbours as the largest lag, and only sums leave it.
     """
-    cols = [*s.keys, *s.order]
-    xs = with_position(df.where(F.col(x).isNotNull()).select(*cols, x), s, "__px")
-    ys = with_position(df.where(F.col(y).isNotNull()).select(*cols, y), s, "__p")
-    left = xs.select(*s.keys, "__px", F.col(x).alias("__x")).withColumn(
-        "lag", F.explode(F.array(*[F.lit(n) for n in lags]))
-    )
-    left = left.withColumn("__p", F.col("__px") + F.col("lag"))
-    pairs = left.join(ys.select(*s.keys, "__p", F.col(y).alias("__y")), [*s.keys, "__p"])
-    return pairs.groupBy(*s.keys, "lag").agg(
-        F.corr("__x", "__y").alias("r"), F.count(F.lit(1)).alias("n")
+    keys, cols = list(s.keys), [*s.keys, *s.order]
+    xs = with_position(df.where(F.col(x).isNotNull()).select(*cols, F.col(x).alias("__x")), s, "__p").select(*keys, "__p", "__x")
+    ys = with_position(df.where(F.col(y).isNotNull()).select(*cols, F.col(y).alias("__y")), s, "__p").select(*keys, "__p", "__y")
+    met = xs.join(ys, [*keys, "__p"], "full")
+    ahead, back = max(0, *lags), max(0, *[-n for n in lags])
+    size = max(s.block_rows, ahead + 1, back + 1)
+    block, inside = F.floor(F.col("__p") / size), F.col("__p") % size
+    homes = [F.struct(block.alias("b"), F.lit(True).alias("own"))]
+    if ahead:
+        homes.append(F.when((inside < ahead) & (block > 0), F.struct((block - 1).alias("b"), F.lit(False).alias("own"))))
+    if back:
+        homes.append(F.when(inside >= size - back, F.struct((block + 1).alias("b"), F.lit(False).alias("own"))))
+    spread = met.withColumn("__home", F.explode(F.array_compact(F.array(*homes)))).select(*keys, "__p", "__x", "__y", "__home.*")
+    w = Window.partitionBy(*keys, "b").orderBy("__p")
+    led = spread.withColumns({f"__y{i}": F.lead("__y", n).over(w) for i, n in enumerate(lags)}).where("own")
+    pair = [F.when(F.col("__x").isNotNull() & F.col(f"__y{i}").isNotNull(), F.col("__x").cast("double")) for i in range(len(lags))]
+    found = led.groupBy(*keys).agg(
+        F.array(
+            *[
+                F.struct(F.lit(n).alias("lag"), F.corr(pair[i], F.col(f"__y{i}").cast("double")).alias("r"), F.count(pair[i]).alias("n"))
+                for i, n in enumerate(lags)
+            ]
+        ).alias("found")
     )
+    return found.select(*keys, F.inline("found")).where(F.col("n") > 0)
 
 
 def best_lag(correlations: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -154,9 +154,19 @@ def oversample(
 def sample_rows(df: DataFrame, n: int, ids: Sequence[str], seed: int = 42) -> DataFrame:
     """At most n rows, the same ones on every run: the first n in hash order.
 
-    Each task keeps its own first n, so nothing but those is moved.
+    Rows are counted by the first digits of their hash (65,536 counters).  All rows below the digits at which n is
+    reached are in; only the rows that share those digits, about one in 65,536, are put in order.
     """
-    return df.orderBy(hash_order(ids, seed), *ids).limit(n)
+    hashed = df.withColumn("__h", hash_order(ids, seed)).withColumn("__b", F.substring("__h", 1, 4))
+    counts = hashed.groupBy("__b").agg(F.count(F.lit(1)).alias("c"))
+    upto = counts.select("__b", "c", F.sum("c").over(Window.orderBy("__b")).alias("upto"))
+    edge = upto.where(F.col("upto") >= n).orderBy("__b").first()
+    if edge is None:
+        return df
+    last, before = edge["__b"], edge["upto"] - edge["c"]
+    below = hashed.where(F.col("__b") < last).select(*df.columns)
+    border = hashed.where(F.col("__b") == last).orderBy("__h", *ids).limit(n - before).select(*df.columns)
+    return below.unionByName(border)
 
 
 def split_summary(df: DataFrame, split: str, y: str, classes: Sequence[int]) -> DataFrame:
