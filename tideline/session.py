@@ -27,12 +27,15 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named by ``spark.checkpoint.dir``.
 
-    Only a session that names none (a local test) gets a folder of its own.
+    Only a local session that names none (a test) gets a folder of its own; on a cluster
+    other machines would not see it.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tideline-checkpoint-"))
 
 
