@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideline.catalog.assessment import _HOLD, SUP
-from tideline.catalog.learning import _alert, _binary_report, _parts, learning_table
+from tideline.catalog.learning import DEPTH, ITER, _alert, _binary_report, _parts, learning_table
 from tideline.catalog.registry import query
 from tideline.catalog.tables import (
     PANEL_SQL,
@@ -96,7 +96,7 @@ def _adds_up(spark, sf):
     """Rows whose contributions and base are the prediction of a boosted model to nine digits."""
     d, feats = learning_table(spark, sf)
     train, test = _parts(d)
-    model = M.fit_gbt_regressor(train, feats, "y_log", max_iter=40, depth=5)
+    model = M.fit_gbt_regressor(train, feats, "y_log", ITER, DEPTH)
     parts = T.attribute(model, test, feats, ["key", "week_start"]).groupBy("key", "week_start").agg(F.sum("contribution").alias("sum"))
     base = T.bases(T.leaf_paths(T.node_table(model))).select("base")
     scored = M.score(model, test, pred="p").select("key", "week_start", "p")
@@ -135,7 +135,7 @@ def _dependence(spark, sf):
     """Twenty points of every feature, from one pass over the rows."""
     d, feats = learning_table(spark, sf)
     train, _ = _parts(d)
-    model = M.fit_gbt_regressor(train, feats, "y_log", max_iter=40, depth=5)
+    model = M.fit_gbt_regressor(train, feats, "y_log", ITER, DEPTH)
     return T.partial_dependence(model, train, feats, T.even_grid(train, feats, points=20))
 
 
@@ -143,7 +143,7 @@ def _dependence(spark, sf):
 def _interaction(spark, sf):
     d, feats = learning_table(spark, sf)
     train, test = _parts(d)
-    model = M.fit_gbt_regressor(train, feats, "y_log", max_iter=40, depth=5)
+    model = M.fit_gbt_regressor(train, feats, "y_log", ITER, DEPTH)
     return T.interactions(model, test, feats, T.even_grid(train, feats, points=6), top=12)
 
 

@@ -1,7 +1,7 @@
 """Model queries over the weekly look-back table (MLlib; checked by row count).
 
-Fits are kept small: the queries show each operator end to end, the plans take the
-sizes of real runs as parameters.
+Boosted models and forests have the sizes that the plans use by default; only the forests of the
+lead-time, look-back, grid and per-key comparisons, which fit many, have fewer trees (``FEWER``).
 """
 
 from __future__ import annotations
@@ -32,8 +32,10 @@ from tideline.operators.windows import lags, rolling
 from tideline.session import cut_lineage, scratch_path
 from tideline.sources.schema import select_features
 
-ITER = 5
-DEPTH = 4
+ITER, DEPTH = 40, 5
+STAGE_ITER = 20
+TREES, FOREST_DEPTH = 100, 10
+FEWER = 30
 
 
 def learning_table(spark: SparkSession, sf: str, periods: int = 4) -> tuple[DataFrame, list[str]]:
@@ -81,7 +83,7 @@ def _gbt(spark, sf):
 def _stage(spark, sf):
     d, feats = learning_table(spark, sf)
     train, test = _parts(d)
-    model = M.fit_stage_model(L.class_weights(train, "y3", name="w"), feats, "y3", weight="w", max_iter=3, depth=DEPTH)
+    model = M.fit_stage_model(L.class_weights(train, "y3", name="w"), feats, "y3", weight="w", max_iter=STAGE_ITER, depth=DEPTH)
     scored = M.stage_probabilities(model, test, [0, 1, 2])
     scored = scored.withColumn("pred", M.argmax_class([F.col(f"prob_{c}") for c in range(3)]))
     return V.class_report(scored.withColumn("truth", F.col("y3").cast("int")), "truth", "pred", [0, 1, 2])
@@ -108,8 +110,8 @@ def _early(spark, sf):
 def _forest(spark, sf):
     d, feats = learning_table(spark, sf)
     train, test = _parts(d)
-    cls = M.fit_forest(L.class_weights(train, "y3", name="w"), feats, "y3", weight="w", trees=10, depth=6)
-    reg = M.fit_forest(train, feats, "y_log", kind="regressor", trees=10, depth=6)
+    cls = M.fit_forest(L.class_weights(train, "y3", name="w"), feats, "y3", weight="w", trees=TREES, depth=FOREST_DEPTH)
+    reg = M.fit_forest(train, feats, "y_log", kind="regressor", trees=TREES, depth=FOREST_DEPTH)
     scored = M.score(cls, test, pred="p_stage")
     scored = M.score(reg, scored, pred="p_log").withColumns(
         {"truth": F.col("y3").cast("int"), "pred": F.col("p_stage").cast("int")}
@@ -132,7 +134,7 @@ def _grid(spark, sf):
             F.col("y3").cast("int").alias("truth"), F.col("p").cast("int").alias("pred")
         )
 
-    best, tried = M.grid_search_time(train, WEEKLY_SERIES, "truth", fit, {"depth": [3, 5], "trees": [5]}, predict, folds=3)
+    best, tried = M.grid_search_time(train, WEEKLY_SERIES, "truth", fit, {"depth": [4, 10], "trees": [10, FEWER]}, predict, folds=3)
     rows = [(p["depth"], p["trees"], float(s), p == best) for p, s in tried]
     return spark.createDataFrame(rows, "depth int, trees int, macro_f1 double, best boolean")
 
@@ -141,7 +143,7 @@ def _grid(spark, sf):
 def _ensemble(spark, sf):
     d, feats = learning_table(spark, sf)
     train, test = _parts(d)
-    forest = M.fit_forest(train, feats, "alert", trees=10, depth=6)
+    forest = M.fit_forest(train, feats, "alert", trees=TREES, depth=FOREST_DEPTH)
     scored = M.score(_alert(train, feats), test, prob="a")
     scored = M.score(forest, scored, prob="b")
     scored = scored.withColumn("p", M.average_probs([(1.0, F.col("a_1")), (1.0, F.col("b_1"))]))
@@ -176,7 +178,7 @@ def _ablation(spark, sf):
 
     def evaluate(d, n):
         train, test = _parts(d)
-        model = M.fit_forest(train, feats[n], "y3", trees=8, depth=5)
+        model = M.fit_forest(train, feats[n], "y3", trees=FEWER, depth=FOREST_DEPTH)
         scored = M.score(model, test, pred="p").select(
             F.col("y3").cast("int").alias("truth"), F.col("p").cast("int").alias("pred")
         )
@@ -196,7 +198,7 @@ def _daily_features(spark, sf):
 def _leads(spark, sf):
     d, feats = _daily_features(spark, sf)
     split = partial(L.split_by_dates, time="day", first_val="2000-01-01", first_test="2000-07-01")
-    return M.compare_leads(d, DAILY, "stage", feats, split, trees=6, depth=4)
+    return M.compare_leads(d, DAILY, "stage", feats, split, trees=FEWER, depth=FOREST_DEPTH)
 
 
 @query("ml_model_per_key")
@@ -208,7 +210,7 @@ def _per_key(spark, sf):
             "key", F.col("y3").cast("int").alias("truth"), F.col("p").cast("int").alias("pred")
         )
 
-    pooled = M.fit_per_key(d, "key", None, lambda t: M.fit_forest(t, feats, "y3", trees=5, depth=4), predict)
+    pooled = M.fit_per_key(d, "key", None, lambda t: M.fit_forest(t, feats, "y3", trees=FEWER, depth=FOREST_DEPTH), predict)
     return V.alert_metrics(pooled, "truth", "pred", by=["key"])
 
 
@@ -259,7 +261,7 @@ def _scaled(spark, sf):
 def _bands(spark, sf):
     d, feats = learning_table(spark, sf)
     train, test = _parts(d)
-    bands = M.fit_quantiles(train, feats, "y_log", depth=3)(test)
+    bands = M.fit_quantiles(train, feats, "y_log", depth=5)(test)
     return V.interval_metrics(bands, "y_log", "q10", "q50", "q90")
 
 

@@ -34,7 +34,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if context.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not context.master.startswith("local["):
+    if not shared and context.master != "local" and not context.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tideline-checkpoint-"))
 
