@@ -135,6 +135,8 @@ def column_medians(df: DataFrame, values: Sequence[str]) -> dict[str, float | No
 
 #: Values of a column that one aggregate may lay out in order; a wider gap between pivots is cut again.
 AT_ONCE = 20_000
+#: Share of the rows that the first sketch is made of.
+SKETCHED = 1 / 16
 
 
 def wide_quantiles(
@@ -142,33 +144,34 @@ def wide_quantiles(
 ) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles of many columns side by side; nulls and NaN do not count.
 
-    Every pass is one aggregate of one row: a sketch proposes pivots on both sides of each wanted rank, counters
+    Every pass is one aggregate of one row: a sketch of some rows proposes pivots on both sides of each wanted rank, counters
     of values below and up to each pivot say whether the rank is a pivot itself or between which two it
     lies, and the few values between them are laid out. Rows are neither copied per column nor shuffled; only the
     pivots and those few values come to the driver. A gap that still holds more than ``AT_ONCE`` values gets pivots of its own.
     """
     cols = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in values}
-    slack = 3.0 / accuracy
-    near = lambda f: [min(max(f + d, 0.0), 1.0) for d in (-slack, slack)]
-    probes = sorted({x for q in qs for x in near(q)})
-    first = df.agg(
-        *[F.count(v).alias(f"n{i}") for i, v in enumerate(cols.values())],
-        *[F.percentile_approx(v, probes, accuracy).alias(f"p{i}") for i, v in enumerate(cols.values())],
-    ).first()
-    sizes = {c: first[f"n{i}"] for i, c in enumerate(cols)}
+    near = lambda f, slack: [min(max(f + d, 0.0), 1.0) for d in (-slack, slack)]
+    probes = sorted({x for q in qs for x in near(q, 0.01)})
+    some = df.sample(SKETCHED, seed=42)  # a sketch of few rows is as good a proposal
+    first = some.agg(*[F.percentile_approx(v, probes, accuracy).alias(f"p{i}") for i, v in enumerate(cols.values())]).first()
     pivots = {c: sorted(set(first[f"p{i}"] or [])) for i, c in enumerate(cols)}
+    sizes: dict[str, int] = {}
+    ranks: dict[str, set[int]] = {}
     # What is known of a column: value -> (values below it, values up to it).
     known: dict[str, dict[float, tuple[int, int]]] = {c: {} for c in cols}
     at: dict[str, dict[int, float]] = {c: {} for c in cols}
-    ranks = {c: {r for q in qs for r in _ranks(n, q)} for c, n in sizes.items()}
 
     while True:
         asked = [(c, p) for c in cols for p in pivots[c] if p not in known[c]]
-        if asked:
-            counters = [x for c, p in asked for x in (F.count_if(cols[c] < p), F.count_if(cols[c] <= p))]
+        counters = [x for c, p in asked for x in (F.count_if(cols[c] < p), F.count_if(cols[c] <= p))]
+        counters += [F.count(v) for v in cols.values()] if not sizes else []
+        if counters:
             row = df.agg(*[x.alias(f"c{i}") for i, x in enumerate(counters)]).first()
             for i, (c, p) in enumerate(asked):
                 known[c][p] = (row[2 * i], row[2 * i + 1])
+            if not sizes:
+                sizes = dict(zip(cols, row[2 * len(asked) :]))
+                ranks = {c: {r for q in qs for r in _ranks(n, q)} for c, n in sizes.items()}
         gaps = {}
         for c in cols:
             for r in ranks[c] - at[c].keys():
@@ -194,7 +197,7 @@ def wide_quantiles(
             if end - start <= AT_ONCE:
                 aggs.append(F.array_sort(F.collect_list(own)))
             else:
-                shares = sorted({x for r in wanted for x in near((r - start) / (end - start))})
+                shares = sorted({x for r in wanted for x in near((r - start) / (end - start), 3.0 / accuracy)})
                 aggs.append(F.percentile_approx(own, shares, accuracy))
         row = df.agg(*[a.alias(f"g{i}") for i, a in enumerate(aggs)]).first()
         pivots = {c: [] for c in cols}
