@@ -169,13 +169,17 @@ def calibrate_isotonic(
 
     Each fold's model is fitted on the other folds and its scores are calibrated on
     the fold itself; a row's calibrated probability is the mean over the folds.
-    The folds are the groups of one isotonic fit.  Returns ``apply(rows, name)``.
+    The folds' models are fitted side by side, and the folds are the groups of one
+    isotonic fit.  Returns ``apply(rows, name)``.
     """
     fold = F.pmod(F.conv(F.substring(hash_order(ids, seed), 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")
     parts = train.withColumn("__fold", fold)
-    models, held = [], None
+    fits = side_by_side([(str(k), partial(fit, parts.where(F.col("__fold") != k))) for k in range(folds)], at_once=folds)
+    for k, (_, error) in fits.items():
+        if error:
+            raise RuntimeError(f"fold {k}: {error}")
+    models, held = [fits[str(k)][0] for k in range(folds)], None
     for k in range(folds):
-        models.append(fit(parts.where(F.col("__fold") != k)))
         own = score(models[k], parts.where(F.col("__fold") == k), prob="__p").select("__fold", "__p_1", F.col(label).cast("double").alias("__y"))
         held = own if held is None else held.unionByName(own)
     blocks = fit_isotonic(held, "__p_1", "__y", by=["__fold"])
