@@ -40,10 +40,12 @@ def texts():
     return out
 
 
-@pytest.mark.parametrize("pieces,broadcast", [(8192, 100_000), (3, 0)])
-def test_equals_brute_force(spark, texts, monkeypatch, pieces, broadcast):
+@pytest.mark.parametrize("pieces,bits,remembered", [(4096, 1 << 29, 400_000), (3, 1 << 29, 400_000), (4096, 1 << 15, 5), (3, 1 << 15, 5)])
+def test_equals_brute_force(spark, texts, monkeypatch, pieces, bits, remembered):
+    """Crowded names, a crowded bit map and tasks that forget kinds change no result."""
     monkeypatch.setattr(repeats, "PIECES", pieces)
-    monkeypatch.setattr(repeats, "BROADCAST_PIECES", broadcast)
+    monkeypatch.setattr(repeats, "MOST_BITS", bits)
+    monkeypatch.setattr(repeats, "REMEMBERED", remembered)
     docs = spark.createDataFrame([(*r, 1) for r in texts], "doc_id long, text string, name int").repartition(4)
     got = sorted(str((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in repeats.remove(docs).collect())
     assert got == sorted(str((k, *w)) for (k, _), w in zip(texts, plain([t for _, t in texts], 200)))
@@ -60,6 +62,41 @@ def test_matching_statistics():
             assert got[i] == most
 
 
+def test_bit_map(spark):
+    rng = np.random.default_rng(5)
+    names = rng.integers(0, 1 << 64, 3000, dtype=np.uint64)
+    table = spark.createDataFrame([(int(n),) for n in names.view(np.int64)], "name long")
+    known = repeats.bit_map(table, 1 << 20)
+    assert repeats.in_map(names, known).all()
+    assert repeats.in_map(rng.integers(0, 1 << 64, 100_000, dtype=np.uint64), known).mean() < 0.004
+
+
+def test_copies_of_every_number(spark):
+    """A text that occurs once, twice, three times and often, within a task and across tasks."""
+    rng = random.Random(6)
+    texts = [body for n in (1, 2, 3, 40) for body in [prose(rng, 120)] for _ in range(n)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(str((k, *w)) for k, w in enumerate(plain(texts, 200)))
+    for parts in (1, 7):
+        got = sorted(str(tuple(r)) for r in repeats.remove(docs.repartition(parts)).collect())
+        assert got == want
+
+
+def test_the_index_marks_the_starts(spark, texts):
+    """Matching statistics over the kinds of all pieces find every repeated string; the query has as many starts."""
+    bodies = [(t or "").encode() for _, t in texts]
+    kinds = Counter()
+    for body in (b for b in bodies if len(b) >= 200):
+        _, _, start, n, _, _, _ = repeats.pieces_of([body], 200)
+        kinds.update(body[s : s + m + 199] for s, m in zip(start.tolist(), n.tolist(), strict=True))
+    several, starts = np.array([c > 1 for c in kinds.values()]), np.array([len(b) - 199 for b in kinds])
+    _, _, run = repeats.kinds_repeated(list(kinds), several, starts, 200)
+    count = Counter(b[i : i + 200] for b in bodies for i in range(len(b) - 199))
+    assert run.sum() == sum(count[b[i : i + 200]] > 1 for b in kinds for i in range(len(b) - 199))
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    assert repeats.repeated_starts(docs).agg({"n": "sum"}).first()[0] == sum(c for c in count.values() if c > 1)
+
+
 def test_small_batches(spark, texts, monkeypatch):
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     want = sorted(str(r) for r in repeats.remove(docs).collect())

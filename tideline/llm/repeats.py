@@ -2,16 +2,21 @@
 
 Where. Each string of ``LENGTH`` bytes is named by the smallest hash among its ``GRAM``-byte grams, so equal
 strings have equal names. Neighbouring starts of one name make a piece; pieces whose name occurs nowhere else hold no
-repeat and go no further. Equal pieces are repeats as a whole. What is left are different pieces of one name.
+repeat and go no further. A first pass over the texts counts names. A second one lays out the pieces of repeated names,
+which it knows from one bit per name in a map of at most ``MOST_BITS`` bits; names that share a bit with a repeated one
+come along and are found to be alone later, so a crowded map costs work, never results.
 
-What. The pieces of a name, one of each kind, make a suffix order and its Burrows-Wheeler transform, kept
+What. Pieces of one name that are equal (by a 128-bit hash) are one kind. A task lays out the bytes of a kind once. The kinds
+of a name, those that occur more than once twice over, make a suffix order and its Burrows-Wheeler transform, kept
 as runs. Only at run ends is the longest match with a neighbour computed: inside a run both
 neighbours continue a longer match one byte to the left, so the match is one shorter than at the byte before, and
-one pass over the text streams the matching statistics of every byte. Starts with a match of ``LENGTH`` are repeats.
+one pass over the text streams the matching statistics of every byte. Starts with a match of ``LENGTH`` are repeats,
+in every piece of their kind. From the third piece of a kind in one task on, a piece is known to repeat and meets no index.
 
-The passes over all texts are a map; what is shuffled is one row a piece, then only repeated names.
-Names with more than ``PIECES`` pieces are too large for one index: their strings are compared by 128-bit hashes,
-aggregated before the shuffle, which any share of the rows in one name does not slow.
+Both passes over all texts are maps; what is shuffled is one name per kind and portion of text, two rows at most per kind and task
+for the index, the repeated runs, and the texts once for their digest. Names with more than ``PIECES`` kinds are too large for
+one index: their strings are compared by 128-bit hashes, aggregated before the shuffle, which any share of
+the rows in one name does not slow.
 
 Edge cases: null texts count as empty; shorter texts lose nothing. Matches do not cross documents; strings
 may overlap their copies. Repeated rows are each other's copies. A name is content, so its rows may
@@ -26,21 +31,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.llm.common import stash, utf8_length
 
-GRAM = 32
+GRAM = 64
 #: Most starts of one piece (long runs of one gram are cut), bytes that are hashed, and bytes that are sorted at once.
 STARTS, HASHED_AT_ONCE, SORTED_AT_ONCE = 192, 1_000_000, 1_500_000
 #: A byte that UTF-8 never has, behind every piece.
 SEPARATOR = 0xFF
-#: Most pieces of one name in one index.
-PIECES = 8192
-#: Pieces up to which their places (under 100 bytes each) are sent to every executor instead of a shuffle of the texts.
-BROADCAST_PIECES = 100_000
+#: Most kinds of pieces of one name in one index.
+PIECES = 4096
+#: Most bits of the map of repeated names: 64 MB go to every executor at most, whatever the number of names.
+MOST_BITS = 1 << 29
+#: Kinds that a task remembers at once.
+REMEMBERED = 400_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -55,29 +63,32 @@ def sliding(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(backward[:n], forward[width - 1 : width - 1 + n])
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A mixed polynomial hash of every gram, from prefix sums modulo 2 ** 64."""
-    n = len(data)
-    power = np.full(n, _BASE)
+def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of a polynomial modulo 2 ** 64 before each byte, and the factors that move a stretch to the front."""
+    power = np.full(len(data), _BASE)
     power[0] = 1
     power = np.multiply.accumulate(power)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, dtype=np.uint64)])
-    back = np.full(n - GRAM + 1, _INVERSE)
+    back = np.full(len(data), _INVERSE)
     back[0] = 1
-    h = (total[GRAM:] - total[:-GRAM]) * np.multiply.accumulate(back)
-    h ^= h >> np.uint64(29)
+    return total, np.multiply.accumulate(back)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ h >> np.uint64(32)
 
 
 def pieces_of(texts: list[bytes], length: int):
-    """For texts of at least ``length`` bytes: text, name, start, starts, self (the name lies twice inside) and kind (hash) of each piece."""
-    joined = b"".join(texts)
-    data = np.frombuffer(joined, np.uint8)
+    """For texts of at least ``length`` bytes: text, name, start, starts, sketch (equal for equal pieces) and whether the name may lie
+    twice inside, of each piece; then where it begins in all texts joined."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts])
     ends = np.cumsum(sizes)
     begins = ends - sizes
-    hashes = gram_hashes(data)
+    total, back = prefix_sums(data)
+    hashes = mixed((total[GRAM:] - total[:-GRAM]) * back[: len(data) - GRAM + 1])
     width = length - GRAM + 1
     names = sliding(hashes, width)
     valid = np.zeros(len(names) + 1, np.int64)
@@ -98,37 +109,98 @@ def pieces_of(texts: list[bytes], length: int):
         order = np.argsort(starts)
         starts, stops = starts[order], stops[order]
     own = names[starts]
+    sketch = mixed((total[stops - 1 + length] - total[starts]) * back[starts])
+    # A name that lies twice in a piece is the smallest of some window at two places next to each other.
+    reach = np.concatenate([np.zeros(width - 1, np.uint64), names, np.zeros(width - 1, np.uint64)])
+    least = np.flatnonzero(~sliding(~reach, width) == hashes)
+    again = hashes[least[1:]][(hashes[least[1:]] == hashes[least[:-1]]) & (np.diff(least) <= width)]
     text = np.searchsorted(ends, starts, "right")
-    view = memoryview(joined)
-    kinds, twice = np.empty(len(starts), np.uint64), np.empty(len(starts), bool)
-    for i, (s, e, name) in enumerate(zip(starts.tolist(), stops.tolist(), own, strict=True)):
-        kinds[i] = xxhash.xxh3_64_intdigest(view[s : e - 1 + length])
-        twice[i] = np.count_nonzero(hashes[s : e - 1 + width] == name) > 1
-    return text, own, starts - begins[text], stops - starts, twice, kinds
+    return text, own, starts - begins[text], stops - starts, sketch, np.isin(own, again), starts
+
+
+def _portions(batch: pa.RecordBatch, length: int) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Rows of a batch long enough to repeat, with their bytes, some megabytes at once."""
+    rows, bodies, size = [], [], 0
+    for i, text in enumerate(batch.column("text").to_pylist()):
+        body = (text or "").encode()
+        if len(body) < length:
+            continue
+        if rows and size + len(body) > HASHED_AT_ONCE:
+            yield rows, bodies
+            rows, bodies, size = [], [], 0
+        rows.append(i)
+        bodies.append(body)
+        size += len(body)
+    if rows:
+        yield rows, bodies
+
+
+def _names(length: int):
+    """Texts to one row per different piece of a portion: its name, and whether it or its name is there twice."""
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, bodies in _portions(batch, length):
+                _, name, _, _, sketch, twice, _ = pieces_of(bodies, length)
+                _, at, count = np.unique(name * _BASE + sketch, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(name[at].view(np.int64)), pa.array((count > 1) | twice[at])], names=["name", "twice"])
+
+    return names
+
+
+def bit_map(names: DataFrame, bits: int) -> np.ndarray:
+    """A map of ``bits`` bits (a power of two) where the low bits of each name are set."""
+    place = F.col("name").bitwiseAND(F.lit(bits - 1))
+    parts = names.groupBy(F.shiftright(place, 15).alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(32767))).alias("bits"))
+    out = np.zeros(max(bits >> 15, 1) * 4096, np.uint8)
+    for row in parts.toLocalIterator():
+        out[row.part * 4096 : (row.part + 1) * 4096] = np.frombuffer(row.bits, np.uint8)
+    return out
+
 
+def in_map(name: np.ndarray, known: np.ndarray) -> np.ndarray:
+    place = name & np.uint64(len(known) * 8 - 1)
+    return (known[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
-def _pieces(length: int):
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _laid_out(length: int, repeated: Broadcast, crowded: Broadcast | None, strings: bool):
+    """Texts to the pieces of repeated names: those of crowded names if ``strings``, else all others.
+
+    The first piece of a kind in a task has its bytes; from the third one on, a piece has no name, as no index is needed.
+    """
+
+    def laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, bool] = {}
         for batch in batches:
-            bodies = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            rows = [i for i, b in enumerate(bodies) if len(b) >= length]
-            while rows:
-                size, count = 0, 0
-                while count < len(rows) and (not count or size + len(bodies[rows[count]]) <= HASHED_AT_ONCE):
-                    size += len(bodies[rows[count]])
-                    count += 1
-                part, rows = rows[:count], rows[count:]
-                text, name, start, n, twice, kind = pieces_of([bodies[i] for i in part], length)
-                at = pa.array(np.array(part)[text])
+            for rows, texts in _portions(batch, length):
+                text, name, start, n, _, _, begin = pieces_of(texts, length)
+                hit = in_map(name, repeated.value)
+                if crowded is not None:
+                    hit &= in_map(name, crowded.value) == strings
+                hit = np.flatnonzero(hit)
+                view = memoryview(b"".join(texts))
+                kinds, bodies, known = [], [], np.zeros(len(hit), bool)
+                for i, (s, m) in enumerate(zip(begin[hit].tolist(), n[hit].tolist(), strict=True)):
+                    body = view[s : s + m - 1 + length]
+                    kind = xxhash.xxh3_128_intdigest(body)
+                    met = seen.get(kind)
+                    kinds.append(kind)
+                    bodies.append(bytes(body) if met is None or strings and not met else None)
+                    known[i] = bool(met)
+                    seen[kind] = met is not None
+                    if len(seen) > REMEMBERED:
+                        seen.clear()
+                halves = np.array([divmod(k, 1 << 64) for k in kinds], np.uint64).reshape(-1, 2).view(np.int64)
+                at = pa.array(np.array(rows)[text[hit]])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("k").take(at), batch.column("t").take(at), pa.array(name.view(np.int64)), pa.array(kind.view(np.int64)),
-                        pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(twice),
+                        batch.column("k").take(at), batch.column("t").take(at), pa.array(start[hit].astype(np.int32)), pa.array(n[hit].astype(np.int32)),
+                        pa.array(name[hit].view(np.int64), mask=known), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(bodies, pa.binary()),
                     ],
-                    names=["k", "t", "name", "kind", "start", "n", "twice"],
+                    names=["k", "t", "start", "n", "name", "k1", "k2", "body"],
                 )
 
-    return pieces
+    return laid_out
 
 
 def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
@@ -197,54 +269,72 @@ def matching_statistics(data: np.ndarray, most: int) -> np.ndarray:
     return np.maximum.accumulate(reach) - np.arange(n)
 
 
+def kinds_repeated(bodies: list[bytes], several: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kind, offset and number of each run of repeated starts; ``several`` are the kinds with more than one piece, n the starts."""
+    ends = [SEPARATOR]
+    parts = [b + bytes(ends) for b in bodies]
+    parts += [p for p, more in zip(parts, several.tolist(), strict=True) if more]
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    repeated = matching_statistics(data, length + STARTS) >= length
+    sizes = np.array([len(b) + 1 for b in bodies])
+    begins = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(bodies)), n)
+    offset = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    hit = repeated[begins[owner] + offset]
+    same = np.append(owner[1:] == owner[:-1], False)
+    edge = np.flatnonzero(hit & ~(np.append(False, hit[:-1]) & np.append(False, same[:-1])))
+    stop = np.flatnonzero(hit & ~(np.append(hit[1:], False) & same)) + 1
+    return owner[edge], offset[edge], stop - edge
+
+
 def _indexed(length: int):
-    """Sorted Arrow batches of pieces to their repeated starts: k, t, start and n."""
-
-    def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(rows).combine_chunks()
-        bodies = table.column("body").to_pylist()
-        data = np.frombuffer(b"".join(b + bytes([SEPARATOR]) for b in bodies), np.uint8)
-        most = length + STARTS
-        repeated = matching_statistics(data, most) >= length
-        sizes = np.array([len(b) + 1 for b in bodies])
-        begins = np.cumsum(sizes) - sizes
-        n = table.column("n").to_numpy()
-        owner = np.repeat(np.arange(len(bodies)), n)
-        offset = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        hit = repeated[begins[owner] + offset]
-        edge = np.flatnonzero(hit & ~(np.append(False, hit[:-1]) & np.append(False, owner[1:] == owner[:-1])))
-        stop = np.flatnonzero(hit & ~(np.append(hit[1:], False) & np.append(owner[1:] == owner[:-1], False))) + 1
-        at = pa.array(owner[edge])
-        start = table.column("start").to_numpy()[owner[edge]] + offset[edge]
-        columns = [table.column("k").combine_chunks().take(at), table.column("t").combine_chunks().take(at)]
-        columns += [pa.array(start.astype(np.int32)), pa.array((stop - edge).astype(np.int32))]
+    """Arrow batches of pieces sorted by name and kind, those with bytes first, to their repeated starts: k, t, start and n."""
+
+    def flush(waiting: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(waiting).combine_chunks()
+        keys = np.stack([rows.column(c).to_numpy() for c in ("name", "k1", "k2")], 1)
+        fresh = np.append(True, (keys[1:] != keys[:-1]).any(1))
+        heads = np.flatnonzero(fresh)
+        pieces = np.diff(np.append(heads, len(keys)))
+        n = rows.column("n").to_numpy()
+        bodies = rows.column("body").take(pa.array(heads)).to_pylist()
+        kind, offset, run = kinds_repeated(bodies, pieces > 1, n[heads], length)
+        # Every piece of a kind has the runs of the kind.
+        times = pieces[kind]
+        which = np.repeat(np.arange(len(kind)), times)
+        row = heads[kind][which] + np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+        at = pa.array(row)
+        columns = [rows.column("k").combine_chunks().take(at), rows.column("t").combine_chunks().take(at)]
+        columns += [pa.array((rows.column("start").to_numpy()[row] + offset[which]).astype(np.int32)), pa.array(run[which].astype(np.int32))]
         return pa.RecordBatch.from_arrays(columns, names=["k", "t", "start", "n"])
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
-        size, last = 0, None
+        size = 0
         for whole in batches:
-            # Rows equal in key and text give a piece twice; it must not meet itself.
-            places = np.stack([whole.column(c).to_numpy().astype(np.int64) for c in ("name", "t", "start")], 1)
-            fresh = np.append(last is None or bool((places[:1] != last).any()), (places[1:] != places[:-1]).any(1))[: len(places)]
-            last = places[-1] if len(places) else last
-            whole = whole.filter(pa.array(fresh.astype(bool)))
+            unnamed = whole.column("name").is_null()
+            if whole.column("name").null_count:
+                known = whole.filter(unnamed)
+                yield pa.RecordBatch.from_arrays([known.column(c) for c in ("k", "t", "start", "n")], names=["k", "t", "start", "n"])
+                whole = whole.filter(whole.column("name").is_valid())
             names = whole.column("name").to_numpy()
-            for s, e in _groups(names, whole.column("body")):
+            lengths = np.diff(np.frombuffer(whole.column("body").buffers()[1], np.int32)[whole.column("body").offset :][: len(names) + 1]) if len(names) else []
+            filled = np.append(0, np.cumsum(lengths))
+            for s, e in _groups(names):
                 part = whole.slice(s, e - s)
-                full = size + part.column("body").nbytes > SORTED_AT_ONCE
-                if waiting and full and names[s] != waiting[-1].column("name")[-1].as_py():
+                more = int(filled[e] - filled[s])
+                if waiting and size + more > SORTED_AT_ONCE and names[s] != waiting[-1].column("name")[-1].as_py():
                     yield flush(waiting)
                     waiting, size = [], 0
                 waiting.append(part)
-                size += part.column("body").nbytes
+                size += more
         if waiting:
             yield flush(waiting)
 
     return indexed
 
 
-def _groups(names: np.ndarray, bodies: pa.Array) -> Iterator[tuple[int, int]]:
+def _groups(names: np.ndarray) -> Iterator[tuple[int, int]]:
     """Slices of whole names (within the batch) of a few hundred pieces."""
     cuts = np.append(np.flatnonzero(np.diff(names)) + 1, len(names))
     begin = 0
@@ -274,38 +364,28 @@ def _hashed(length: int):
 def repeated_starts(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
     """k, t (hash of the text), start and n: runs of starts of strings that also start elsewhere."""
     kind = docs.schema[key].dataType
-    place = [T.StructField("k", kind), T.StructField("t", T.LongType())]
-    run = [T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType())]
-    names = [T.StructField("name", T.LongType()), T.StructField("kind", T.LongType())]
+    run = [T.StructField("k", kind), T.StructField("t", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType())]
+    piece = [*run, *(T.StructField(c, T.LongType()) for c in ("name", "k1", "k2")), T.StructField("body", T.BinaryType())]
     rows = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("text"))
-    pieces = rows.mapInArrow(_pieces(length), T.StructType([*place, *names, *run, T.StructField("twice", T.BooleanType())]))
-    often = pieces.groupBy("name").agg(F.count(F.lit(1)).alias("c"), F.max("twice").alias("twice")).where("c > 1 or twice")
-    met = stash(pieces.join(often.select("name"), "name", "left_semi"), "pieces")
-
-    first = F.min(F.struct("k", "t", "start", "n")).alias("first")
-    kinds = stash(met.groupBy("name", "kind").agg(F.count(F.lit(1)).alias("c"), F.max("twice").alias("twice"), first), "kinds")
-    whole = met.join(kinds.where("c > 1").select("name", "kind"), ["name", "kind"], "left_semi").select("k", "t", "start", "n")
-    several = kinds.groupBy("name").agg(F.count(F.lit(1)).alias("m"), F.max("twice").alias("twice")).where("m > 1 or twice")
-    wanted = stash(kinds.join(several.select("name", "m"), "name").select("name", "m", "first.*"), "wanted")
-
-    count, largest = wanted.agg(F.count(F.lit(1)), F.coalesce(F.max("m"), F.lit(0))).first()
-    own = F.collect_list(F.struct("name", "m", "start", "n")).alias("own")
-    by_text = wanted.groupBy(F.col("k").alias("pk"), F.col("t").alias("pt")).agg(own)
-    if count <= BROADCAST_PIECES:
-        by_text = F.broadcast(by_text)
-    same = F.col("k").eqNullSafe(F.col("pk")) & (F.col("t") == F.col("pt"))
-    found = rows.join(by_text, same).select("k", "t", F.encode("text", "UTF-8").alias("bytes"), F.explode("own").alias("o"))
-    body = F.substring(F.col("bytes"), F.col("o.start") + 1, F.col("o.n") + (length - 1))
-    bodies = found.select("k", "t", "o.*", body.alias("body"))
-
-    in_order = bodies.where(F.col("m") <= PIECES).repartition("name").sortWithinPartitions("name", "t", "start")
-    starts = whole.union(in_order.mapInArrow(_indexed(length), T.StructType([*place, *run])))
-    if largest > PIECES:
-        schema = T.StructType([*place, run[0], T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
-        once = bodies.where(F.col("m") > PIECES).dropDuplicates(["name", "t", "start"])
-        strings = stash(once.mapInArrow(_hashed(length), schema), "strings")
+
+    pieces = rows.select("text").mapInArrow(_names(length), "name long, twice boolean")
+    often = stash(pieces.groupBy("name").agg(F.count(F.lit(1)).alias("c"), F.max("twice").alias("twice")).where("c > 1 or twice"), "names")
+    count, most = often.agg(F.count(F.lit(1)), F.coalesce(F.max("c"), F.lit(0))).first()
+    context = docs.sparkSession.sparkContext
+    repeated = context.broadcast(bit_map(often, min(MOST_BITS, 1 << max(20, (16 * count).bit_length()))))
+    crowded = context.broadcast(bit_map(often.where(F.col("c") > PIECES), 1 << 20)) if most > PIECES else None
+
+    laid_out = rows.mapInArrow(_laid_out(length, repeated, crowded, False), T.StructType(piece))
+    placed = laid_out.repartition(F.coalesce("name", F.xxhash64("t", "start")))
+    in_order = placed.sortWithinPartitions("name", "k1", "k2", F.col("body").isNull())
+    starts = in_order.mapInArrow(_indexed(length), T.StructType(run))
+    if crowded is not None:
+        large = stash(rows.mapInArrow(_laid_out(length, repeated, crowded, True), T.StructType(piece)), "crowded")
+        schema = T.StructType([*run[:3], T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
+        strings = stash(large.where(F.col("body").isNotNull()).mapInArrow(_hashed(length), schema), "strings")
         twice = strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
         starts = starts.union(strings.join(twice, ["h1", "h2"], "left_semi").select("k", "t", "start", F.lit(1).alias("n")))
+        starts = starts.union(large.where(F.col("body").isNull()).select("k", "t", "start", "n"))
     return starts
 
 
@@ -348,8 +428,8 @@ def merged(runs: list[dict], length: int) -> Iterator[tuple[int, int]]:
 
 def spans(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
     """k, t and runs, the repeated starts of every text that has some."""
-    starts = repeated_starts(docs, length, key, text).distinct()
-    return starts.groupBy("k", "t").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    starts = repeated_starts(docs, length, key, text)
+    return starts.groupBy("k", "t").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
 
 
 def remove(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
