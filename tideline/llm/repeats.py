@@ -7,8 +7,8 @@ which it knows from one bit per name in a map of at most ``MOST_BITS`` bits; nam
 come along and are found to be alone later, so a crowded map costs work, never results.
 
 What. Pieces of one name that are equal (by a 128-bit hash) are one kind. A task lays out the bytes of a kind once. The kinds
-of a name, those that occur more than once twice over, make a suffix order and its Burrows-Wheeler transform, kept
-as runs. Only at run ends is the longest match with a neighbour computed: inside a run both
+of a name make a suffix order and its Burrows-Wheeler transform, kept as runs; a kind enters once, with a sampled match of
+its whole length at its start if there are more pieces of it. Only at run ends is the longest match with a neighbour computed: inside a run both
 neighbours continue a longer match one byte to the left, so the match is one shorter than at the byte before, and
 one pass over the text streams the matching statistics of every byte. Starts with a match of ``LENGTH`` are repeats,
 in every piece of their kind. From the third piece of a kind in one task on, a piece is known to repeat and meets no index.
@@ -204,24 +204,29 @@ def _laid_out(length: int, repeated: Broadcast, crowded: Broadcast | None, strin
 
 
 def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of all suffixes in order of their first ``depth`` bytes at least, by doubling from eight bytes."""
+    """Starts of all suffixes in order of their first ``depth`` bytes at least: by eight bytes, then by doubling among those that tie."""
     n = len(data)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     key = np.zeros(n, np.uint64)
     for i in range(8):
         key = key << np.uint64(8) | padded[i : i + n]
-    known = 8
+    order = np.argsort(key)
+    key = key[order]
+    places, rank, known = np.arange(n), np.empty(n, np.int64), 8
     while True:
-        order = np.argsort(key)
-        ranked = key[order]
-        new = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
-        if known >= depth or new[-1] == n - 1:
+        # A suffix ranks as the first place of those it ties with.
+        new = np.append(True, key[1:] != key[:-1])
+        head = places[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+        rank[order[places]] = head
+        tied = ~(new & np.append(new[1:], True))
+        places, head = places[tied], head[tied]
+        if known >= depth or not len(places):
             return order
-        rank = np.empty(n, np.uint64)
-        rank[order] = new
-        nearby = np.zeros(n, np.uint64)
-        nearby[: n - known] = rank[known:] + np.uint64(1)
-        key = rank << np.uint64(32) | nearby
+        suffix = order[places]
+        later = np.where(suffix + known < n, rank[np.minimum(suffix + known, n - 1)] + 1, 0)
+        key = head << 32 | later
+        sort = np.argsort(key)
+        order[places], key = suffix[sort], key[sort]
         known *= 2
 
 
@@ -247,8 +252,11 @@ def common_prefix(words: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) ->
     return found
 
 
-def matching_statistics(data: np.ndarray, most: int) -> np.ndarray:
-    """Length of the longest match of each suffix elsewhere in ``data``, up to ``most``."""
+def matching_statistics(data: np.ndarray, most: int, known: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Length of the longest match of each suffix elsewhere in ``data``, up to ``most``.
+
+    ``known`` are places and the matches they have with copies that ``data`` does not repeat.
+    """
     n = len(data)
     order = suffix_order(data, most)
     before = data[order - 1].astype(np.int16)  # the transform
@@ -266,18 +274,17 @@ def matching_statistics(data: np.ndarray, most: int) -> np.ndarray:
     below = common_prefix(words, place, order[np.minimum(samples + 1, n - 1)], most) * (samples < n - 1)
     reach = np.zeros(n, np.int64)
     reach[place] = np.maximum(above, below) + place
+    if known is not None:
+        reach[known[0]] = np.maximum(reach[known[0]], known[0] + known[1])
     return np.maximum.accumulate(reach) - np.arange(n)
 
 
 def kinds_repeated(bodies: list[bytes], several: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Kind, offset and number of each run of repeated starts; ``several`` are the kinds with more than one piece, n the starts."""
-    ends = [SEPARATOR]
-    parts = [b + bytes(ends) for b in bodies]
-    parts += [p for p, more in zip(parts, several.tolist(), strict=True) if more]
-    data = np.frombuffer(b"".join(parts), np.uint8)
-    repeated = matching_statistics(data, length + STARTS) >= length
-    sizes = np.array([len(b) + 1 for b in bodies])
-    begins = np.cumsum(sizes) - sizes
+    data = np.frombuffer(b"".join(b + bytes([SEPARATOR]) for b in bodies), np.uint8)
+    sizes = np.array([len(b) for b in bodies])
+    begins = np.cumsum(sizes + 1) - sizes - 1
+    repeated = matching_statistics(data, length + STARTS, (begins[several], sizes[several])) >= length
     owner = np.repeat(np.arange(len(bodies)), n)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
     hit = repeated[begins[owner] + offset]
