@@ -7,8 +7,8 @@ is in, until ``probes`` leaves are reached. Queries and rows meet by leaf, score
 the original vectors, and the best of all leaves are merged.
 
 How many leaves that takes is measured: the true neighbours of ``CHECKED`` queries are found by comparing them with all
-rows, and ``probes`` is the least number of leaves that gives them a mean recall of ``RECALL``. Where
-comparing every query with every row costs less than the forest, that is done instead, and is exact.
+rows, and ``probes`` is the least number of leaves that gives them a mean recall of ``RECALL``. Only a table
+of a few leaves' rows is one leaf, and then the result is exact.
 
 Inner products become distances by one more coordinate that gives every row the same length.
 Only as many rows of equal vectors as a query can return (smallest ids) enter the index, and equal
@@ -41,8 +41,6 @@ SAMPLE = 20_000
 PART = 4096
 #: Queries whose true neighbours are looked up, and the share of these that the probes must find; above 0.9, as it is a sample.
 CHECKED, RECALL = 128, 0.95
-#: Comparisons that cost as much as moving one vector between tasks.
-MOVE = 200
 
 
 @dataclass
@@ -296,20 +294,11 @@ def search(
     firsts = named.select(F.col("first").alias("id")).distinct()
     once = asked.select("id", "vec").join(firsts, "id", "left_semi").dropDuplicates(["id"])
     asks = once.count() if depth and probes is None else 0
-    moved = n * -(-asks // PART) + asks * -(-n // PART)
-
-    def forest_pays(leaves: int) -> bool:
-        return (trees * n + leaves * asks) * MOVE + leaves * asks * (n >> depth) < moved * MOVE + n * asks
-
-    if asks and not forest_pays(trees):
-        depth = 0
     fitted = fit(sample, float(np.sqrt(square)), trees if depth else 1, depth)
     if asks and depth:
         some = once.orderBy(F.xxhash64("id"), "id").limit(CHECKED).collect()
         ids, x = np.array([r["id"] for r in some]), np.array([r["vec"] for r in some], np.float64)
         probes = probes_needed(fitted, true_neighbours(distinct, ids, x, k))
-        if not forest_pays(probes):
-            depth, fitted = 0, fit(sample, float(np.sqrt(square)), 1, 0)
     probes = probes or 1
     forest = spark.sparkContext.broadcast(fitted)
     kind = vectors.schema[vector].dataType.simpleString()
