@@ -60,6 +60,22 @@ def test_equals_brute_force(spark, tables, monkeypatch, broadcast):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(k) for k, _ in docs + docs[-3:] if k not in bad)
 
 
+def test_windows_out_of_step(spark):
+    """Words put in, left out and moved: no anchor need have its own place in the best window."""
+    rng = random.Random(3)
+    items = [(i, prose(rng, n)) for i, n in enumerate((60, 80, 100, 100))]
+    docs = []
+    for i, text in items:
+        ws = text.split(" ")
+        half = len(ws) // 2
+        for j, changed in enumerate((ws[half:] + ws[:half], ws[:half] + ["zz"] + ws[half:], ws[:half] + ws[half + 1 :], ws[-20:] + ws[:-20])):
+            docs.append((10 * i + j, " ".join([prose(rng, 30), *changed, prose(rng, 30)])))
+    left = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.k, r.item_id): r.similarity for r in decontaminate.matches(left, spark.createDataFrame(items, "item_id int, text string")).collect()}
+    want = {(k, i): best(t, x) for k, t in docs for i, x in items}
+    assert got == pytest.approx({p: s for p, s in want.items() if s >= 0.8}) and len(got) > 12
+
+
 def test_empty_sides(spark, tables, nothing):
     docs = spark.createDataFrame(tables[0], "doc_id long, text string")
     bench = spark.createDataFrame(tables[1], "item_id long, text string")
