@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +104,43 @@ def test_probes_needed_is_the_least():
     assert recall(n) >= 0.9 > recall(n - 1)
 
 
+@pytest.mark.parametrize("held", [1_000_000, 50])
+def test_bounds_and_merging_change_no_row(spark, monkeypatch, held):
+    """The rows found are those of the leaves a query visits, and a task hands on at most k rows a query."""
+    grown, fit = [], neighbours.fit
+    monkeypatch.setattr(neighbours, "fit", lambda *given: grown.append(fit(*given)) or grown[-1])
+    monkeypatch.setattr(neighbours, "SAMPLE", 900)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 12))
+    x[100:160] = x[7]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = by_query(neighbours.search(table, table.where("vec_id % 20 = 0"), probes=12, leaf_rows=64))
+    forest = grown[0]
+    assert forest.depth > 2
+    leaves = forest.leaves(x)
+    entered = [i for i in range(3000) if not 100 <= i < 160 or i < 120]  # as many copies as a query can return, with row 7
+    for q in range(0, 3000, 20):
+        _, tree, leaf = forest.probes(x[q][None], 12)
+        met = set(zip(tree.tolist(), leaf.tolist(), strict=True))
+        near = sorted((-float(x[q] @ x[i]), i) for i in entered if i != q and any((t, v) in met for t, v in enumerate(leaves[i].tolist())))[:20]
+        assert [r.vec_id for r in got[q]] == [i for _, i in near]
+
+    # Groups of one task: 40 leaves with the same rows, visited by one query.
+    ids, vec = np.arange(30), rng.normal(size=(30, 12))
+
+    def work():
+        for g in range(40):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([g] * 31), pa.array([0] * 30 + [1]), pa.array([*ids, 99]), pa.array([*vec.tolist(), [1.0] * 12]),
+                 pa.array([-np.inf] * 30 + [float(np.sort(vec.sum(1))[-9])])], names=["g", "kind", "id", "vec", "bound"],
+            )
+
+    monkeypatch.setattr(neighbours, "HELD", held)
+    handed = [b.to_pylist() for b in neighbours._best(12, 5)(work())]
+    assert sum(map(len, handed)) == 5
+    assert {r["vec_id"] for b in handed for r in b} == set(np.argsort(-vec.sum(1))[:5].tolist())
+
+
 def test_few_rows_and_none(spark):
     table = spark.createDataFrame([(20, [1.0, 2.0]), (21, [2.0, 1.0]), (40, [1.0, 2.0])], "vec_id long, embedding array<float>")
     got = by_query(neighbours.search(table, table.where("vec_id % 20 = 0")))

@@ -4,7 +4,8 @@ Each tree halves a sample of the vectors again and again: the direction between
 a node, cut at the median. Every row then goes to its leaf in every tree. A query walks all trees with one
 priority queue: the node that lies nearest on the wrong side of its cuts comes next, whichever tree it
 is in, until ``probes`` leaves are reached. Queries and rows meet by leaf, scores are computed exactly on
-the original vectors, and the best of all leaves are merged.
+the original vectors, and the best of all leaves are merged. A query carries the score of its last place among the sampled rows
+in its leaves: a row below it cannot be in the result and is not handed on, and a task hands on each query's best once, not once a leaf.
 
 How many leaves that takes is measured: the true neighbours of ``CHECKED`` queries are found by comparing them with all
 rows, and ``probes`` is the least number of leaves that gives them a mean recall of ``RECALL``. Only a table
@@ -37,6 +38,8 @@ from pyspark.sql import functions as F
 from tideline.llm.common import stash
 
 SAMPLE = 20_000
+#: Rows found (24 bytes each) that a task holds before it merges and, if they stay many, hands them on.
+HELD = 1_000_000
 #: Rows of a leaf or its queries that are compared at once.
 PART = 4096
 #: Queries whose true neighbours are looked up, and the share of these that the probes must find; above 0.9, as it is a sample.
@@ -146,37 +149,60 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _spread(forest, dim: int, count: int | None):
-    """Arrow batches (id, vec) to (tree, leaf, id, vec): to all leaves of a row, or to ``count`` leaves of a query."""
+def _spread(forest, dim: int, count: int | None, k: int = 0):
+    """Arrow batches (id, vec) to (tree, leaf, id, vec, bound): to all leaves of a row, or to ``count`` leaves of a query.
+
+    ``forest`` holds the sample too; the bound of a query is the k-th best score among the sampled rows in its leaves, if ``k`` is given.
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: Forest = forest.value
+        trees, sample = forest.value
+        own = trees.leaves(sample) + (np.arange(trees.trees, dtype=np.int32) << trees.depth) if k else None
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
                 x = _matrix(batch.column("vec"), dim).astype(np.float64)
+                bound = np.full(len(x), -np.inf)
                 if count is None:
                     leaf = trees.leaves(x).ravel()
                     row, tree = np.divmod(np.arange(len(leaf)), trees.trees)
                 else:
                     row, tree, leaf = trees.probes(x, count)
+                    bound = _bounds(x, sample, own, row, (tree << trees.depth) + leaf, trees, k) if k else bound
                 at = pa.array(row)
                 columns = [pa.array(tree.astype(np.int32)), pa.array(leaf.astype(np.int32)), *(c.take(at) for c in batch.columns)]
-                yield pa.RecordBatch.from_arrays(columns, names=["tree", "leaf", "id", "vec"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(bound[row])], names=["tree", "leaf", "id", "vec", "bound"])
 
     return spread
 
 
+def _bounds(x: np.ndarray, sample: np.ndarray, own: np.ndarray, row: np.ndarray, leaf: np.ndarray, trees: Forest, k: int) -> np.ndarray:
+    """What the k-th best row that each query meets scores at least; all of these rows are met, so none that counts is lost."""
+    scores, out = x @ sample.T, np.full(len(x), -np.inf)
+    slack = 1e-9 * np.sqrt((x * x).sum(1)) * trees.radius  # sums in another order
+    for q in range(len(x)):
+        visited = np.zeros(trees.trees << trees.depth, bool)
+        visited[leaf[row == q]] = True
+        met = scores[q, visited[own].any(1)]
+        if len(met) >= k:
+            out[q] = np.partition(met, -k)[-k] - slack[q]
+    return out
+
+
 def _best(dim: int, k: int):
-    """Sorted Arrow batches (g, kind, id, vec) to (query, vec_id, score): rows of a group come before its queries."""
+    """Sorted Arrow batches (g, kind, id, vec, bound) to (query, vec_id, score): rows of a group come before its queries."""
+
+    def batch_of(columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", "vec_id", "score"])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, ids, vectors = None, [], []
+        out: list[tuple] = []
+        held = 0
         for batch in batches:
-            g, kind = batch.column("g").to_numpy(), batch.column("kind").to_numpy()
+            g, kind, bound = (batch.column(c).to_numpy() for c in ("g", "kind", "bound"))
             own, x = batch.column("id").to_numpy(), _matrix(batch.column("vec"), dim).astype(np.float64)
             cuts = np.flatnonzero((np.diff(g) != 0) | (np.diff(kind) != 0)) + 1
-            out = []
             for s, e in zip([0, *cuts], [*cuts, len(g)], strict=True):
                 if s == e:
                     continue
@@ -187,30 +213,47 @@ def _best(dim: int, k: int):
                     vectors.append(x[s:e])
                 elif ids:
                     ids, vectors = [np.concatenate(ids)], [np.concatenate(vectors)]
-                    out += _top(own[s:e], x[s:e], ids[0], vectors[0], k)
-            if out:
-                columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", "vec_id", "score"])
+                    found = list(_top(own[s:e], x[s:e], ids[0], vectors[0], k, bound[s:e]))
+                    out += found
+                    held += sum(len(f[0]) for f in found)
+                    if held > HELD:
+                        out = [_merged(out, k)]
+                        held = len(out[0][0])
+                        if held > HELD // 2:
+                            yield batch_of(out[0])
+                            out, held = [], 0
+        if out:
+            yield batch_of(_merged(out, k))
 
     return best
 
 
-def _top(query: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int):
+def _merged(found: list[tuple], k: int) -> list[np.ndarray]:
+    """The k best different rows of each query."""
+    query, own, score = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((-score, own, query))
+    first = np.ones(len(order), bool)
+    first[1:] = (np.diff(query[order]) != 0) | (np.diff(own[order]) != 0)
+    query, own, score = (c[order[first]] for c in (query, own, score))
+    order = np.lexsort((own, -score, query))
+    order = order[np.arange(len(order)) - np.searchsorted(query[order], query[order]) < k]
+    return [query[order], own[order], score[order]]
+
+
+def _top(query: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, bound: np.ndarray | None = None):
+    """The k best rows of each query, none below its bound."""
     for s in range(0, len(query), 256):
         scores = q[s : s + 256] @ x.T
-        if scores.shape[1] > 4 * k:
-            # Only what reaches the k-th best score of its query is put in order, ties included.
-            least = np.partition(scores, -k, axis=1)[:, -k, None]
-            row, at = np.nonzero(scores >= least)
-            score, own = scores[row, at], ids[at]
-            order = np.lexsort((own, -score, row))
-            first = np.searchsorted(row, np.arange(len(scores)))
-            order = order[np.arange(len(row)) - first[row] < k]
-            yield query[s : s + 256][row[order]], own[order], score[order]
-            continue
-        order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-        n = order.shape[1]
-        yield np.repeat(query[s : s + 256], n), ids[order].ravel(), np.take_along_axis(scores, order, 1).ravel()
+        # Only what reaches the k-th best score of its query is put in order, ties included.
+        least = np.partition(scores, -k, axis=1)[:, -k, None] if scores.shape[1] > k else np.full((len(scores), 1), -np.inf)
+        if bound is not None:
+            least = np.maximum(least, bound[s : s + 256, None])
+        row, at = np.nonzero(scores >= least)
+        score, own = scores[row, at], ids[at]
+        order = np.lexsort((own, -score, row))
+        first = np.searchsorted(row, np.arange(len(scores)))
+        order = order[np.arange(len(row)) - first[row] < k]
+        yield query[s : s + 256][row[order]], own[order], score[order]
 
 
 def _all_best(asked, dim: int, k: int):
@@ -300,17 +343,17 @@ def search(
         ids, x = np.array([r["id"] for r in some]), np.array([r["vec"] for r in some], np.float64)
         probes = probes_needed(fitted, true_neighbours(distinct, ids, x, k))
     probes = probes or 1
-    forest = spark.sparkContext.broadcast(fitted)
+    forest = spark.sparkContext.broadcast((fitted, sample))
     kind = vectors.schema[vector].dataType.simpleString()
-    schema = f"tree int, leaf int, id long, vec {kind}"
+    schema = f"tree int, leaf int, id long, vec {kind}, bound double"
     placed = distinct.mapInArrow(_spread(forest, dim, None), schema)
-    probing = once.mapInArrow(_spread(forest, dim, probes), schema)
+    probing = once.mapInArrow(_spread(forest, dim, probes, k + 1), schema)
 
     leaf = ["tree", "leaf"]
     # One row for each leaf of the forest: at most trees * SAMPLE / 16.
     parts = stash(
         placed.groupBy(*leaf).agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("row_parts"))
-        .join(probing.groupBy(*leaf).agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("query_parts")), leaf),
+        .join(once.mapInArrow(_spread(forest, dim, probes), schema).groupBy(*leaf).agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("query_parts")), leaf),
         "leaves",
     )
     sides = []
@@ -319,7 +362,7 @@ def search(
         met = met.withColumn("own", F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
         met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
         pair = ["own", "other"] if number == 0 else ["other", "own"]
-        sides.append(met.select(F.xxhash64(*leaf, *pair).alias("g"), F.lit(number).alias("kind"), "id", "vec"))
+        sides.append(met.select(F.xxhash64(*leaf, *pair).alias("g"), F.lit(number).alias("kind"), "id", "vec", "bound"))
     work = sides[0].union(sides[1]).repartition("g").sortWithinPartitions("g", "kind")
     found = work.mapInArrow(_best(dim, k + 1), "query long, vec_id long, score double")
     found = found.groupBy("query", "vec_id").agg(F.max("score").alias("score"))
