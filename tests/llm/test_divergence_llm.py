@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,21 @@ def result(df):
     return sorted((r.lang, r.source, r.part, r.item, r.value, r.rank) for r in df.collect())
 
 
+def test_terms_of_every_character():
+    """All of ASCII, white space beyond it, letters that only Unicode makes small, and an empty text."""
+    for text in ("", "".join(map(chr, range(256))) + "AZ[`az{\x7f", "a\x85b\xa0C\u2003D\u3000É\u0130 \x1c\x1fx\x0by", "x" + "".join(f"{chr(c)}A" for c in range(0x3000))):
+        assert [t.decode() for t in D.terms(text.encode())] == terms(text)
+
+
+def test_strings_are_looked_up_for_wanted_digests_only(spark, docs):
+    df = frame(spark, docs).na.fill("")
+    every = {(r.digest, r.item) for r in D.strings(df, 64).collect()}
+    some = sorted(d for d, _ in every)[::3]
+    got = {(r.digest, r.item) for r in D.strings(df, 64, spark.sparkContext.broadcast(np.array(some))).collect()}
+    assert got == {(d, t) for d, t in every if d in set(some)} and got
+    assert D.strings(df, 64, spark.sparkContext.broadcast(np.array([], np.int64))).count() == 0
+
+
 @pytest.mark.parametrize("broadcast", [1_000_000, 0])
 def test_equals_brute_force(spark, docs, monkeypatch, broadcast):
     monkeypatch.setattr(D, "BROADCAST_ROWS", broadcast)

@@ -2,8 +2,8 @@
 
 What is counted and shuffled is fixed in width: a term travels as a 64-bit digest. A task counts the terms of its texts per
 language and source, ``AT_ONCE`` distinct ones at a time, and only digests with their counts are shuffled. Digests in
-enough documents are kept. Only for these is a string looked for: the distinct (digest, term) pairs of the
-texts give each digest its least and its greatest string. Where the two differ, several terms share the digest;
+enough documents are kept. Only for these is a string looked for, by tasks that know the kept digests (beyond ``BROADCAST_ROWS``
+by a join): the (digest, term) pairs of the texts give each digest its least and its greatest string. Where the two differ, several terms share the digest;
 their texts are counted again by the terms themselves, so a collision costs time and changes nothing. The other
 strings come back only for rows of the result, and for those they tie with.
 
@@ -22,32 +22,38 @@ gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.common import stash
 
-#: A term in UTF-8: all of ASCII but its letters separates, every other byte belongs to a term.
-TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+#: A term in UTF-8: all of ASCII but its letters separates, every other byte belongs to a term. A to Z become small, what separates a space.
+_SPACED = bytes(c if c > 127 else ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(256))
 BILLION = 1_000_000_000
 #: Distinct terms that a task counts before it hands them on.
 AT_ONCE = 500_000
-#: Rows of digests (8 bytes each) that are sent to every executor; beyond, Spark joins by shuffle.
+#: Rows of digests (8 bytes each) that the driver gathers and that are sent to every executor; beyond, Spark joins by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Sources of one term that meet the others of the term in one task.
 BLOCK = 256
 
 
-def digests(terms: Iterable[bytes], bits: int) -> np.ndarray:
+def terms(text: bytes) -> list[bytes]:
+    """The terms of a text in UTF-8, repeats included."""
+    return text.translate(_SPACED).split()
+
+
+def digests(found: Iterable[bytes], bits: int) -> np.ndarray:
     """XXH64 of each term as a signed long, or its first bits."""
-    whole = np.fromiter(map(xxhash.xxh64_intdigest, terms), dtype=np.uint64)
+    whole = np.fromiter(map(xxhash.xxh64_intdigest, found), dtype=np.uint64)
     return (whole >> np.uint64(64 - bits) if bits else whole * np.uint64(0)).astype(np.int64)
 
 
@@ -63,7 +69,7 @@ def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[tuple[str, str], d
         for text, *group in zip(*[batch.column(c).to_pylist() for c in ("text", "lang", "source")]):
             mine = found.setdefault(tuple(group), {})
             held -= len(mine)
-            for term, c in Counter(TERM.findall(text.lower())).items():  # bytes: A to Z only
+            for term, c in Counter(terms(text)).items():
                 mine[term] = mine.get(term, 0) + c + one
             held += len(mine)
             if held > AT_ONCE:
@@ -89,23 +95,37 @@ def counted(docs: DataFrame, bits: int, by_string: bool) -> DataFrame:
     return _texts(docs).mapInArrow(rows, schema).groupBy(*names[:-2]).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
-def strings(docs: DataFrame, bits: int) -> DataFrame:
-    """digest and item of the terms of the texts, each once for many texts."""
+def strings(docs: DataFrame, bits: int, wanted: Broadcast | None = None) -> DataFrame:
+    """digest and item of the terms of the texts, each once for many texts; only of ``wanted`` digests (sorted) if given."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
             new: set[bytes] = set()
             for text in batch.column("text").to_pylist():
-                new.update(TERM.findall(text.lower()))
+                new.update(terms(text))
             new -= seen
-            seen = new if len(seen) + len(new) > AT_ONCE else seen | new
-            columns = [pa.array(digests(new, bits)), pa.array([t.decode() for t in new], pa.string())]
+            own = digests(new, bits)
+            if wanted is not None:
+                asked = among(own, wanted.value)
+                own, names = own[asked], list(compress(new, asked))
+            else:
+                names = list(new)
+            seen = set(names) if len(seen) + len(names) > AT_ONCE else seen.union(names)
+            columns = [pa.array(own), pa.array([t.decode() for t in names], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["digest", "item"])
 
     return _texts(docs).select("text").mapInArrow(rows, "digest long, item string")
 
 
+def among(values: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    at = np.searchsorted(kept, values)
+    found = at < len(kept)
+    found[found] = kept[at[found]] == values[found]
+    return found
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.encode("text", "UTF-8").alias("text"), "lang", "source")
 
@@ -137,8 +157,12 @@ def term_counts(docs: DataFrame, least_docs: int, bits: int) -> tuple[DataFrame,
     often = by_group.groupBy("lang", "digest").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
     often = stash(often.select("lang", "digest"), "kept-digests")
 
-    wanted = few(often.select("digest").distinct(), "wanted-digests")
-    pairs = strings(docs, bits).join(wanted, "digest", "left_semi").distinct()
+    wanted = stash(often.select("digest").distinct(), "wanted-digests")
+    if wanted.count() <= BROADCAST_ROWS:
+        kept = np.sort(wanted.toArrow().column("digest").to_numpy())
+        pairs = strings(docs, bits, docs.sparkSession.sparkContext.broadcast(kept))
+    else:
+        pairs = strings(docs, bits).join(wanted, "digest", "left_semi")
     ends = stash(pairs.groupBy("digest").agg(F.min("item").alias("item"), F.max("item").alias("last")), "strings")
     shared = ends.where(F.col("item") != F.col("last"))
     alone = ends.where(F.col("item") == F.col("last"))
